@@ -25,8 +25,9 @@ _LINK = re.compile(
 )
 _SENTENCE = re.compile(r"(?<=[^\d\s][.!?…])[)\"»”']*\s+|(?<=[)\d%][.!?…])\s+(?=[^\W\d_])|\n\s*\n|\n(?=\s*(?:[-*•#>|]\s|\d{1,4}[.)]\s))")
 _WORD = re.compile(r"[^\W\d_]+")
-_ITEM = re.compile(r"[,;|·•»/\n\t]|\s[-–—]\s|(?<=\D)[.!?]\s")
-_SEPARATOR = re.compile(r"[,;|·•»/#]|\s[-–—]\s|(?:^|(?<=\n))[^\n]{1,40}(?=\n|$)")
+_SEPARATORS = (",", ";", "|", "·", "•", "»", "/", "#", " - ", " – ", " — ")
+_ITEM_ENDS = str.maketrans(dict.fromkeys(",;|·•»/\t", "\n"))
+_DOMAIN = re.compile(r"\.[a-z]{3,10}/", re.I)
 _END = re.compile(r"[.!?…:][)\"»”'’]*\s*$")
 MEASURES = ("words", "prose", "top_word", "top_pair", "repeated", "links", "separators", "functions", "needed")
 
@@ -42,6 +43,7 @@ class FunctionWords:
         self.words: dict[str, frozenset[str]] = {}
         self.vocabulary: dict[str, frozenset[str]] = {}
         self.needed: dict[str, float] = {}
+        self._joint: dict[tuple[str, ...], tuple[frozenset[str], float]] = {}
         for language, listed in texts.items():
             seen = Counter(w for words in listed for w in set(words))
             common = {w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= 2 or len(listed) == 1}
@@ -54,6 +56,13 @@ class FunctionWords:
             for w in words:
                 self.languages_of[w].append(language)
 
+    def of(self, spoken: tuple[str, ...]) -> tuple[frozenset[str], float]:
+        """Function words of these languages together, and the lowest share of them that a sentence needs."""
+        if spoken not in self._joint:
+            own = frozenset().union(*(self.words[x] for x in spoken))
+            self._joint[spoken] = own, min((self.needed[x] for x in spoken), default=0.0)
+        return self._joint[spoken]
+
     def languages(self, words: Counter) -> list[str]:
         """The language of a text by the words it has of the samples, and others with at least a quarter of its evidence."""
         found: Counter = Counter()
@@ -67,33 +76,41 @@ class FunctionWords:
 def measure(text: str, functions: FunctionWords) -> tuple[str | None, tuple[float, ...]] | None:
     """(language, values of MEASURES) of a text with words; None for one without."""
     links, rest = 0, text
-    if "://" in text or "www." in text or "href" in text or "»" in text or "/" in text:
+    if "://" in text or "www." in text or "»" in text or "</a>" in text or ("/" in text and _DOMAIN.search(text)):
         for m in _LINK.finditer(text):
-            links += len(m.group())
+            links += m.end() - m.start()
         if links:
             rest = _LINK.sub(" ", text)
-    words = [w.lower() for w in _WORD.findall(text if links > 0.5 * len(text) else rest)]
+    # Every word is found once, sentence by sentence.
+    lowered = rest.lower()
+    sentences = [(s, _WORD.findall(s)) for s in _SENTENCE.split(lowered)]
+    words = _WORD.findall(text.lower()) if links > 0.5 * len(text) else [w for _, found in sentences for w in found]
     if not words:
         return None
     n, count = len(words), Counter(words)
     spoken = functions.languages(count)
     language = spoken[0] if spoken else None
-    own = frozenset().union(*(functions.words[x] for x in spoken))
-    needed = min((functions.needed[x] for x in spoken), default=0.0)
+    own, needed = functions.of(tuple(spoken))
     in_sentences = function_words = 0
-    for s in _SENTENCE.split(rest):
-        found = [w.lower() for w in _WORD.findall(s)]
-        k = sum(w in own for w in found)
-        function_words += k
-        if len(found) >= 6 and k >= max(1, needed * len(found)) and len(set(found)) > 0.5 * min(len(found), 40) and _END.search(s):
-            in_sentences += len(found)
-    content = [(w, c) for w, c in count.items() if w not in own]
-    top = max((c for _, c in content), default=0)
+    for s, found in sentences:
+        size = len(found)
+        if size:
+            k = sum(map(own.__contains__, found))
+            function_words += k
+            if size >= 6 and k >= max(1, needed * size) and _END.search(s, max(0, len(s) - 12)) and len(set(found)) > 0.5 * min(size, 40):
+                in_sentences += size
+    top = max((c for w, c in count.items() if w not in own), default=0)
+    top_pair = 0
     pairs = Counter(zip(words, words[1:]))
-    top_pair = max((c for (a, b), c in pairs.items() if a not in own or b not in own), default=0)
-    items = [i for x in _ITEM.split(rest) if (i := x.strip().lower())]
+    top_pair = max(pairs.values(), default=0)
+    if top_pair > 2:
+        top_pair = max((c for (a, b), c in pairs.items() if c > 2 and (a not in own or b not in own)), default=2)
+    split = lowered.translate(_ITEM_ENDS)
+    for end in (" - ", " – ", " — ", ". ", "! ", "? "):
+        split = split.replace(end, "\n")
+    items = [i for x in split.split("\n") if (i := x.strip())]
     repeated = 1 - len(set(items)) / len(items) if items else 0.0
-    separators = len(_SEPARATOR.findall(rest))
+    separators = sum(map(rest.count, _SEPARATORS)) + sum(1 <= len(line) <= 40 for line in rest.split("\n"))
     return language, (
         float(n), in_sentences / n, top / n, 2 * top_pair / max(n, 2), repeated, links / max(len(text), 1), separators / n, function_words / n, needed,
     )
