@@ -1,0 +1 @@
+"""Fuzzy multilingual full-text search over Spark DataFrames."""
