@@ -23,7 +23,8 @@ _LINK = re.compile(
     r"<a\s[^>]*>.*?</a>|\[url=[^\]]*\].*?\[/url\]|\[[^\]\n]{1,200}\]\([^)\s]*\)|(?:https?://|www\.)\S+|\S+\s?»\s?[\w-]+(?:\.[\w-]+)+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{3,10}/\S*",
     re.I | re.S,
 )
-_SENTENCE = re.compile(r"(?<=[^\d\s][.!?…])[)\"»”']*\s+|(?<=[)\d%][.!?…])\s+(?=[^\W\d_])|\n\s*\n|\n(?=\s*(?:[-*•#>|]\s|\d{1,4}[.)]\s))")
+_BULLET = re.compile(r"\n\s*(?=[-*•#>|]\s|\d{1,4}[.)]\s)")
+_ENDS = (". ", "! ", "? ", "… ", ".\n", "!\n", "?\n", "…\n", ".) ", ".\" ", "!\" ", "?\" ")
 _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATORS = (",", ";", "|", "·", "•", "»", "/", "#", " - ", " – ", " — ")
 _ITEM_ENDS = str.maketrans(dict.fromkeys(",;|·•»/\t", "\n"))
@@ -73,6 +74,16 @@ class FunctionWords:
         return [language for language, v in ranked if v >= 0.25 * ranked[0][1]]
 
 
+def _sentences(text: str) -> list[str]:
+    """Pieces of a text that end where a sentence, a paragraph or an item of a list ends."""
+    if "\n" in text:
+        text = text.replace("\n\n", "\0")
+        text = _BULLET.sub("\0", text)
+    for end in _ENDS:
+        text = text.replace(end, end + "\0")
+    return text.split("\0")
+
+
 def measure(text: str, functions: FunctionWords) -> tuple[str | None, tuple[float, ...]] | None:
     """(language, values of MEASURES) of a text with words; None for one without."""
     links, rest = 0, text
@@ -83,7 +94,7 @@ def measure(text: str, functions: FunctionWords) -> tuple[str | None, tuple[floa
             rest = _LINK.sub(" ", text)
     # Every word is found once, sentence by sentence.
     lowered = rest.lower()
-    sentences = [(s, _WORD.findall(s)) for s in _SENTENCE.split(lowered)]
+    sentences = [(s, _WORD.findall(s)) for s in _sentences(lowered)]
     words = _WORD.findall(text.lower()) if links > 0.5 * len(text) else [w for _, found in sentences for w in found]
     if not words:
         return None
