@@ -1 +1,181 @@
-"""Queries of the language functions."""
+"""Queries of the language functions: stems, phonetic codes, stop words, detection, analyzed searches, snippets."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import replace
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lexwell.catalogue import PLAIN, _tokens_sql, corpus, indexed, probes, query, table
+from lexwell.functions.analyzers import ANALYZERS
+from lexwell.functions.detect import detect
+from lexwell.functions.snippet import build_snippet
+from lexwell.functions.stopwords import STOP_WORDS
+from lexwell.functions.text import tokens
+from lexwell.operators import search
+from lexwell.schema import QUERIES, IndexOptions, QueryOptions, SnippetOptions
+from lexwell.sources.shipping import ship
+
+
+def _vocabulary(spark, sf, language: str) -> DataFrame:
+    """Distinct tokens of the documents of a language; Norwegian, which has none, takes the Danish ones."""
+    docs = table(spark, sf, "documents").where(F.col("lang") == {"no": "da"}.get(language, language))
+    return docs.select(F.explode(tokens(F.col("text"))).alias("token")).distinct()
+
+
+def _mapped(vocabulary: DataFrame, function, name: str) -> DataFrame:
+    ship(vocabulary.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"token": b["token"], name: [function(t) for t in b["token"]]})
+
+    return vocabulary.mapInPandas(run, f"token string, {name} string")
+
+
+for _code in ANALYZERS:
+
+    def _stems(spark, sf, code=_code):
+        return _mapped(_vocabulary(spark, sf, code), ANALYZERS[code].stem, "stem")
+
+    query(None, f"stem_{_code}")(_stems)
+
+_KOELNER = f"""
+WITH v AS (SELECT DISTINCT unnest({_tokens_sql('text')}) AS token FROM documents WHERE lang = 'de'),
+l AS (SELECT token, string_split(translate(token, 'äöüß', 'aous'), '') AS c FROM v),
+d AS (SELECT token, array_to_string(list_transform(range(1, len(c) + 1), lambda i: CASE
+  WHEN c[i] IN ('a', 'e', 'i', 'j', 'o', 'u', 'y') THEN '0' WHEN c[i] = 'b' THEN '1' WHEN c[i] = 'p' THEN CASE WHEN c[i + 1] = 'h' THEN '3' ELSE '1' END
+  WHEN c[i] IN ('d', 't') THEN CASE WHEN c[i + 1] IN ('c', 's', 'z') THEN '8' ELSE '2' END WHEN c[i] IN ('f', 'v', 'w') THEN '3'
+  WHEN c[i] IN ('g', 'k', 'q') THEN '4'
+  WHEN c[i] = 'c' AND i = 1 THEN CASE WHEN c[2] IN ('a', 'h', 'k', 'l', 'o', 'q', 'r', 'u', 'x') THEN '4' ELSE '8' END
+  WHEN c[i] = 'c' THEN CASE WHEN c[i - 1] IN ('s', 'z') THEN '8' WHEN c[i + 1] IN ('a', 'h', 'k', 'o', 'q', 'u', 'x') THEN '4' ELSE '8' END
+  WHEN c[i] = 'x' THEN CASE WHEN i > 1 AND c[i - 1] IN ('c', 'k', 'q') THEN '8' ELSE '48' END WHEN c[i] = 'l' THEN '5' WHEN c[i] IN ('m', 'n') THEN '6'
+  WHEN c[i] = 'r' THEN '7' WHEN c[i] IN ('s', 'z') THEN '8' ELSE '' END), '') AS s FROM l),
+e AS (SELECT token, CASE WHEN s = '' THEN [] ELSE string_split(s, '') END AS k FROM d),
+f AS (SELECT token, list_filter(k, lambda x, i: i = 1 OR x <> k[i - 1]) AS k FROM e)
+SELECT token, nullif(array_to_string(list_filter(k, lambda x, i: i = 1 OR x <> '0'), ''), '') AS code FROM f
+"""
+
+
+@query(_KOELNER)
+def koelner_codes(spark, sf):
+    return _mapped(_vocabulary(spark, sf, "de"), ANALYZERS["de"].encode, "code")
+
+
+@query()
+def double_metaphone_codes(spark, sf):
+    return _mapped(_vocabulary(spark, sf, "en"), ANALYZERS["en"].encode, "code")
+
+
+_ENGLISH = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS["en"]))
+
+
+@query(
+    f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_tokens_sql('text')}) AS token FROM documents WHERE lang = 'en') "
+    f"WHERE token NOT IN ({_ENGLISH}) GROUP BY doc_id, token"
+)
+def stopword_strip(spark, sf):
+    docs = table(spark, sf, "documents").where("lang = 'en'")
+    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
+    return words.where(~F.col("token").isin(*sorted(STOP_WORDS["en"]))).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def detect_language(spark, sf):
+    """The language each document is labelled with and the one its n-grams are nearest to."""
+    ship(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["doc_id", "lang"]].assign(detected=[detect(t) for t in b["text"]])
+
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return docs.mapInPandas(run, "doc_id bigint, lang string, detected string")
+
+
+# Searches with analyzers, over the index documents
+
+ALL = IndexOptions(default_language="en").with_all_languages()
+
+
+def _searched(spark, sf, rows, index: IndexOptions, options: QueryOptions) -> DataFrame:
+    queries = spark.createDataFrame(rows, QUERIES)
+    documents = table(spark, sf, "index_documents")
+    hits = search.search_tables(indexed(documents, index), queries, index, options)
+    return hits.select("query_id", "position", "doc_id", "score", "tier", "snippet")
+
+
+def _rows(language: str, *texts: str, snippet: bool = False) -> list[tuple]:
+    return [(i, t, "AnyTerm", 20, 0, language, snippet) for i, t in enumerate(texts, 1)]
+
+
+for _name, _language, _texts in (
+    ("search_stemmed_de", "de", ("Prüfungen", "Lagers", "bestätigte Quartalszahl")), ("search_stemmed_en", "en", ("payments", "checking meters", "drafted contracts")),
+    ("search_stemmed_fr", "fr", ("papier", "visiteur", "comptables préparent")),
+):
+
+    def _stemmed(spark, sf, language=_language, texts=_texts):
+        return _searched(spark, sf, _rows(language, *texts), replace(ALL, enable_phonetic=False), QueryOptions(enable_fuzzy=False))
+
+    query(None, _name)(_stemmed)
+for _name, _language, _texts in (("search_phonetic_de", "de", ("Ladre", "Fertrag")), ("search_phonetic_en", "en", ("weelhouse", "kontrakt"))):
+
+    def _phonetic(spark, sf, language=_language, texts=_texts):
+        return _searched(spark, sf, _rows(language, *texts), ALL, QueryOptions(enable_fuzzy=False))
+
+    query(None, _name)(_phonetic)
+
+
+@query()
+def search_fuzzy(spark, sf):
+    """The probes with fuzzy ranking over the table documents."""
+    hits = search.search_tables(indexed(corpus(spark, sf)), probes(spark), PLAIN, QueryOptions())
+    return hits.select("query_id", "position", "doc_id", "score", "tier")
+
+
+@query()
+def search_snippets(spark, sf):
+    """The probes with snippets."""
+    wanted = probes(spark).withColumn("include_snippet", F.lit(True))
+    hits = search.search_tables(indexed(corpus(spark, sf)), wanted, PLAIN, QueryOptions(enable_fuzzy=False))
+    return hits.select("query_id", "position", "doc_id", "snippet")
+
+
+# Snippets of all documents
+
+_FOLDED = r"regexp_replace(strip_accents(lower(text)), '\p{Mn}+', '', 'g')"
+
+
+def _snippets(spark, sf, token: str, options: SnippetOptions) -> DataFrame:
+    ship(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "snippet": [build_snippet(t or "", [token], options) for t in b["text"]]})
+
+    return table(spark, sf, "documents").select("doc_id", "text").mapInPandas(run, "doc_id bigint, snippet string")
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, text, length(text) AS n, strpos({_FOLDED}, 'pump') - 1 AS s FROM documents), "
+    "w AS (SELECT *, least(60, n) AS width FROM d), a AS (SELECT *, CASE WHEN s < 0 THEN 0 ELSE least(greatest((s + s + 4) // 2 - width // 2, 0), n - width) END AS l FROM w) "
+    "SELECT doc_id, substring(text, l + 1, width) AS snippet FROM a"
+)
+def snippet_window(spark, sf):
+    """The window around the first occurrence of a token, without marks."""
+    return _snippets(spark, sf, "pump", SnippetOptions(60, "", ""))
+
+
+@query("SELECT doc_id, substring(text, 1, 200) AS snippet FROM documents")
+def snippet_no_token(spark, sf):
+    return _snippets(spark, sf, "zzzzqq", SnippetOptions())
+
+
+@query()
+def snippet_marked(spark, sf):
+    return _snippets(spark, sf, "notice", SnippetOptions())
+
+

@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from lexwell.functions.phonetics import double_metaphone, koelner
+from lexwell.functions.stemmers import da, de, en, es, fi, fr, hu, it, nl, no, pt, ro, ru, sv, tr
+from lexwell.functions.stopwords import STOP_WORDS
+
 
 @dataclass(frozen=True)
 class Analyzer:
@@ -18,4 +22,8 @@ class Analyzer:
         return token in self.stop_words
 
 
-ANALYZERS: dict[str, Analyzer] = {}
+_ENCODERS = {"de": koelner, "en": double_metaphone}
+_STEMMERS = {"da": da, "de": de, "en": en, "es": es, "fi": fi, "fr": fr, "hu": hu, "it": it, "nl": nl, "no": no, "pt": pt, "ro": ro, "ru": ru, "sv": sv, "tr": tr}
+ANALYZERS: dict[str, Analyzer] = {
+    code: Analyzer(module.stem, _ENCODERS.get(code), STOP_WORDS[code]) for code, module in _STEMMERS.items()
+}

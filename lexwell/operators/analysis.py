@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from lexwell.functions.text import terms, tokens
 from lexwell.schema import IndexOptions
+from lexwell.sources.shipping import ship
 
 
 def resolved_language(df: DataFrame, options: IndexOptions, text: str) -> DataFrame:
     """Fills ``language``: as given, else detected, else the default. Only rows without a language reach the detector."""
     if options.language_detector is not None:
+        ship(df.sparkSession)
         detect = options.language_detector
 
         @F.pandas_udf("string")
@@ -30,6 +32,7 @@ def resolved_language(df: DataFrame, options: IndexOptions, text: str) -> DataFr
 
 def analyzed_vocabulary(vocabulary: DataFrame, options: IndexOptions) -> DataFrame:
     """(language, token) -> (language, token, stem, code, stop); languages without an analyzer keep the token as stem."""
+    ship(vocabulary.sparkSession)
     analyzers = options.analyzers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

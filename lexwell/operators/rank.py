@@ -15,6 +15,7 @@ from lexwell.operators.postings import IndexTables
 from lexwell.operators.recall import DIGITS
 from lexwell.plans.match import query_tokens
 from lexwell.schema import SnippetOptions
+from lexwell.sources.shipping import ship
 
 FUZZY_SHARE, BOOST = 0.6, 0.15
 
@@ -42,6 +43,7 @@ def scored(pool: DataFrame, queries: DataFrame, tables: IndexTables, enable_fuzz
 
     The texts are joined to the pool only. A query contained in the text, both folded, is worth 0.15 more, up to 1.
     """
+    ship(pool.sparkSession)
     found = normalized(pool).join(queries.select("query_id", "query_text"), "query_id").join(
         tables.documents.select("rowid", "doc_id", "metadata", "content", F.coalesce("content", "rank_text", F.lit("")).alias("text")), "rowid"
     )
@@ -70,6 +72,8 @@ def paged(hits: DataFrame, queries: DataFrame) -> DataFrame:
 def with_snippets(page: DataFrame, wanted: DataFrame, options: SnippetOptions) -> DataFrame:
     """Adds ``snippet`` to the rows of queries that want one and have stored content; null elsewhere. Page rows only."""
 
+    ship(page.sparkSession)
+
     @F.pandas_udf("string")
     def snippet(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for query, content, want in parts:
