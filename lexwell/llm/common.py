@@ -3,47 +3,21 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import weakref
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexwell.sources.checkpoint import saved
+from lexwell.sources.shipping import ship
+
+__all__ = ["environ_path", "saved", "ship", "table", "tokens"]
 TOKEN = r"[\p{L}\p{Nd}]+"
-_shipped: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, so that Python workers import it wherever they run."""
-    sc = spark.sparkContext
-    if _shipped.get(sc):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for path in sorted(root.rglob("*.py")):
-            z.write(path, path.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    _shipped[sc] = True
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``: written to the shared folder in spark.checkpoint.dir, lineage cut.
-
-    Only where the session names no folder (single-machine tests) a local one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def tokens(text: Column) -> Column:
     """Tokens of a text in order: maximal runs of letters and decimal digits, lower-cased; null gives null.
 
@@ -56,9 +30,5 @@ def tokens(text: Column) -> Column:
     ).otherwise(F.regexp_extract_all(F.lower(text), pattern, zero))
 
 
-def pieces(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def environ_path(name: str, default: str) -> str:
     return os.environ.get(name, default)
