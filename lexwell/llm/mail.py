@@ -261,7 +261,9 @@ def newly_written(
                         out["line_no"].append(i + 1)
                         out["line"].append(l)
                         out["x"].append(x[i])
-            p = model.probability(np.array(out.pop("x"))) if out["r"] else np.zeros(0)
+            if not out["r"]:
+                continue
+            p = model.probability(np.array(out.pop("x")))
             yield pd.DataFrame(out | {"other": p >= 0.5, "probability": p})
 
     result = ready.mapInPandas(classify, f"r {kind}, line_no int, line string, other boolean, probability double")

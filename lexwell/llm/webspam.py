@@ -136,6 +136,8 @@ def page_measures(df: DataFrame, record: str, text: str, samples: list[tuple[str
         functions = FunctionWords(samples)
         for batch in batches:
             kept = [(r, m) for r, t in zip(batch["r"], batch["t"]) if (m := measure(t, functions))]
+            if not kept:
+                continue
             out = {"r": [r for r, _ in kept], "language": [m[0] for _, m in kept]}
             out |= {name: [m[1][i] for _, m in kept] for i, name in enumerate(MEASURES)}
             yield pd.DataFrame(out)
