@@ -44,13 +44,14 @@ def scored(pool: DataFrame, queries: DataFrame, tables: IndexTables, enable_fuzz
     The texts are joined to the pool only. A query contained in the text, both folded, is worth 0.15 more, up to 1.
     """
     ship(pool.sparkSession)
-    found = normalized(pool).join(queries.select("query_id", "query_text"), "query_id").join(
-        tables.documents.select("rowid", "doc_id", "metadata", "content", F.coalesce("content", "rank_text", F.lit("")).alias("text")), "rowid"
-    )
+    text = F.coalesce("content", "rank_text", F.lit(""))
+    # Texts and queries are folded before they meet: once each, not once for each candidate.
+    documents = tables.documents.select("rowid", "doc_id", "metadata", "content", text.alias("text"), fold(text).alias("folded"))
+    asked = queries.select("query_id", "query_text", fold(F.col("query_text")).alias("folded_query"))
+    found = normalized(pool).join(asked, "query_id").join(documents, "rowid")
     norm = F.col("norm")
     score = FUZZY_SHARE * _fuzzy(ranker)("query_text", "text") + (1 - FUZZY_SHARE) * norm if enable_fuzzy else norm
-    query = fold(F.col("query_text"))
-    boosted = (F.length(query) > 0) & F.contains(fold(F.col("text")), query)
+    boosted = (F.length("folded_query") > 0) & F.contains(F.col("folded"), F.col("folded_query"))
     found = found.withColumn("plain", score).withColumn("score", F.round(F.when(boosted, F.least(F.lit(1.0), F.col("plain") + BOOST)).otherwise(F.col("plain")), DIGITS))
     return found.where(F.col("score") >= min_score).select("query_id", "query_text", "rowid", "doc_id", "tier", "score", "metadata", "content")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexwell.functions.text import occurrences, trigrams
 from lexwell.operators.postings import IndexTables, texts_of, trigram_postings
+from lexwell.sources.checkpoint import saved
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -66,36 +67,33 @@ def best_of(df: DataFrame, keys: list[str], order: list[Column], most: int | Col
 def substring_hits(queries: DataFrame, tables: IndexTables) -> DataFrame:
     """(query_id, rowid, rank) of the documents whose text contains ``part``; queries: (query_id, part), part in lower case.
 
-    Candidates have every trigram of the part, found by joining on trigrams; they are then verified and counted.
+    Each distinct part is looked up once. Every document that contains it has its rarest trigram: that one alone is
+    joined with the documents' trigrams, and what it finds is verified and counted in the texts.
     """
     texts = texts_of(tables.documents)
-    grams = queries.select("query_id", F.explode(F.array_distinct(trigrams(F.col("part")))).alias("gram"))
-    needed = grams.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    used = trigram_postings(texts).join(grams.select("gram").distinct(), "gram", "left_semi")
-    candidates = (
-        grams.join(used, "gram")
-        .groupBy("query_id", "rowid")
-        .agg(F.count(F.lit(1)).alias("have"))
-        .join(needed, "query_id")
-        .where("have = needed")
-        .select("query_id", "rowid")
-    )
+    parts = queries.select("part").distinct()
+    grams = parts.select("part", F.explode(F.array_distinct(trigrams(F.col("part")))).alias("gram"))
+    used = saved(trigram_postings(texts).join(grams.select("gram").distinct(), "gram", "left_semi"))
+    counted = grams.join(used.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram", "left")
+    rarest = counted.groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+    salt = F.pmod(F.xxhash64("rowid"), F.lit(SALT)).cast("int").alias("salt")
+    spread = rarest.select("part", "gram", F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt"))
+    candidates = spread.join(used.select("gram", "rowid", salt), ["gram", "salt"]).select("part", "rowid")
     verified = (
-        candidates.join(queries, "query_id")
-        .join(texts.select("rowid", F.lower("text").alias("low")), "rowid")
+        candidates.join(texts.select("rowid", F.lower("text").alias("low")), "rowid")
         .where(F.contains("low", "part"))
-        .select("query_id", "rowid", occurrences(F.col("low"), F.col("part")).cast("double").alias("f"))
+        .select("part", "rowid", occurrences(F.col("low"), F.col("part")).cast("double").alias("f"))
     )
-    return ranked_substrings(verified, tables)
+    return ranked_substrings(verified, tables).join(queries, "part").select("query_id", "rowid", "rank")
 
 
 def ranked_substrings(verified: DataFrame, tables: IndexTables) -> DataFrame:
-    counted = verified.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
+    counted = verified.groupBy("part").agg(F.count(F.lit(1)).alias("df"))
     share = idf(tables.n_docs, F.col("df")) * saturated(F.col("f"), F.col("tri_len"), tables.avg_tri)
     return (
-        verified.join(counted, "query_id")
+        verified.join(counted, "part")
         .join(tables.doc_stats.select("rowid", "tri_len"), "rowid")
-        .select("query_id", "rowid", (-F.round(share, DIGITS)).alias("rank"))
+        .select("part", "rowid", (-F.round(share, DIGITS)).alias("rank"))
     )
 
 
@@ -106,16 +104,17 @@ def candidate_pool(plans: DataFrame, phrases: DataFrame, tables: IndexTables, po
     with more than one token; if it finds fewer than the limit, documents with any term are added. Substring hits join
     the tier of the any-term matches. A document in both tiers keeps the better tier and the lower rank.
     """
-    ranked = bm25(phrase_hits(phrases, tables), tables)
     strict_queries = plans.where(F.col("all_terms") & (F.col("tokens") > 1)).select("query_id", "tokens", "result_limit")
-    strict = ranked.where("pass = 'strict'").join(strict_queries, "query_id").where("matched = tokens")
-    strict = best_of(strict.select("query_id", "rowid", "rank"), ["query_id"], [F.col("rank"), F.col("rowid")], pool)
+    ranked = bm25(phrase_hits(phrases.where("pass = 'strict'"), tables), tables)
+    strict = ranked.join(strict_queries.select("query_id", "tokens"), "query_id").where("matched = tokens")
+    strict = saved(best_of(strict.select("query_id", "rowid", "rank"), ["query_id"], [F.col("rank"), F.col("rowid")], pool))
     enough = (
         strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("found")).join(strict_queries, "query_id")
         .where(F.col("found") >= F.greatest("result_limit", F.lit(0)))
     )
     no_any = enough.select("query_id").unionByName(strict_queries.where("result_limit <= 0").select("query_id")).distinct()
-    loose = ranked.where("pass = 'any'").join(no_any, "query_id", "left_anti")
+    wanted = phrases.where("pass = 'any'").join(no_any, "query_id", "left_anti")  # the others' phrases are never looked up
+    loose = bm25(phrase_hits(wanted, tables), tables)
     loose = best_of(loose.select("query_id", "rowid", "rank"), ["query_id"], [F.col("rank"), F.col("rowid")], pool)
     parts = plans.where(F.col("part").isNotNull()).select("query_id", "part")
     substrings = best_of(substring_hits(parts, tables), ["query_id"], [F.col("rank"), F.col("rowid")], pool)
