@@ -27,7 +27,7 @@ _BULLET = re.compile(r"\n\s*(?=[-*•#>|]\s|\d{1,4}[.)]\s)")
 _ENDS = (". ", "! ", "? ", "… ", ".\n", "!\n", "?\n", "…\n", ".) ", ".\" ", "!\" ", "?\" ")
 _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATORS = (",", ";", "|", "·", "•", "»", "/", "#", " - ", " – ", " — ")
-_ITEM_ENDS = str.maketrans(dict.fromkeys(",;|·•»/\t", "\n"))
+_ITEM_ENDS = (",", ";", "|", "·", "•", "»", "/", "\t", " - ", " – ", " — ", ". ", "! ", "? ")
 _DOMAIN = re.compile(r"\.[a-z]{3,10}/", re.I)
 _END = re.compile(r"[.!?…:][)\"»”'’]*\s*$")
 MEASURES = ("words", "prose", "top_word", "top_pair", "repeated", "links", "separators", "functions", "needed")
@@ -52,10 +52,12 @@ class FunctionWords:
             self.vocabulary[language] = frozenset(seen)
             shares = [sum(w in common for w in words) / len(words) for words in listed if words]
             self.needed[language] = need * float(np.median(shares)) if shares else 0.0
-        self.languages_of = defaultdict(list)
+        spoken = defaultdict(list)
         for language, words in self.vocabulary.items():
             for w in words:
-                self.languages_of[w].append(language)
+                spoken[w].append(language)
+        # The rarer a word is among the languages, the more it says.
+        self.weights = {w: tuple((language, 1 / len(listed)) for language in listed) for w, listed in spoken.items()}
 
     def of(self, spoken: tuple[str, ...]) -> tuple[frozenset[str], float]:
         """Function words of these languages together, and the lowest share of them that a sentence needs."""
@@ -66,11 +68,12 @@ class FunctionWords:
 
     def languages(self, words: Counter) -> list[str]:
         """The language of a text by the words it has of the samples, and others with at least a quarter of its evidence."""
-        found: Counter = Counter()
-        for w, n in words.items():
-            for language in self.languages_of.get(w, ()):
-                found[language] += min(n, 3) / len(self.languages_of[w])
-        ranked = found.most_common()
+        found: dict[str, float] = {}
+        known = self.weights
+        for w in words:
+            for language, weight in known.get(w, ()):
+                found[language] = found.get(language, 0.0) + weight
+        ranked = sorted(found.items(), key=lambda x: -x[1])
         return [language for language, v in ranked if v >= 0.25 * ranked[0][1]]
 
 
@@ -110,14 +113,14 @@ def measure(text: str, functions: FunctionWords) -> tuple[str | None, tuple[floa
             function_words += k
             if size >= 6 and k >= max(1, needed * size) and _END.search(s, max(0, len(s) - 12)) and len(set(found)) > 0.5 * min(size, 40):
                 in_sentences += size
-    top = max((c for w, c in count.items() if w not in own), default=0)
+    top = max([c for w, c in count.items() if w not in own], default=0)
     top_pair = 0
     pairs = Counter(zip(words, words[1:]))
     top_pair = max(pairs.values(), default=0)
     if top_pair > 2:
-        top_pair = max((c for (a, b), c in pairs.items() if c > 2 and (a not in own or b not in own)), default=2)
-    split = lowered.translate(_ITEM_ENDS)
-    for end in (" - ", " – ", " — ", ". ", "! ", "? "):
+        top_pair = max([c for (a, b), c in pairs.items() if c > 2 and (a not in own or b not in own)], default=2)
+    split = lowered
+    for end in _ITEM_ENDS:
         split = split.replace(end, "\n")
     items = [i for x in split.split("\n") if (i := x.strip())]
     repeated = 1 - len(set(items)) / len(items) if items else 0.0
