@@ -49,9 +49,13 @@ LEGAL_WORDS = (
     "diffusion", "responsabilit", "imprimer", "erreur", "destinat", "riservat", "divulga", "prohib", "destruir", "imprimir", "imprimere", "stampa",
     "vertrouwel", "geadresseerde", "aansprake", "konfident", "fortrol", "modtager", "mottagar", "ansvar", "luottamuksel", "vastaanottaj",
     "конфиденц", "адресат", "ответственност", "bizalmas", "címzett", "felelős", "confidenț", "confidenţ", "destinatar", "gizli", "alıcı", "sorumlu",
+    "adressat", "drucken", "dieses schreiben", "mitteilung", "private", "protected by law", "material protected", "guaranteed", "scanned", "author alone",
+    "expressed here", "interdit", "protégé", "détruire", "environnement", "seul auteur",
 )
 
-_MARK = re.compile(r"^\s*(?:[>|]\s?)+")
+# Marks of quoted lines: > and |, a colon before a space, initials before >.
+MARK = r"^\s*(?:(?:[>|]|:(?=\s|$)|[A-Z]{1,3}>)\s?)+"
+_MARK = re.compile(MARK)
 _HEADER = re.compile(r"^\*?([^\W\d_][^\W\d_ ]{0,13})\s?:\*?(?:\s|$)")
 _RULE = re.compile(r"^\s*(?:[-_=~*—–‐]\s?){1,}$")
 _MESSAGE = re.compile(r"^\s*[-_=*]{4,}\s?[^\W\d_].*[^\W_]\s?[-_=*]{4,}\s*$")
@@ -97,7 +101,7 @@ def describe(lines: list[str], counts: dict[int, tuple[int, int, int, int]], sen
     x = np.zeros((n, len(FEATURES)))
     bare = [_MARK.sub("", l) for l in lines]
     blank = [not l.strip() for l in lines]
-    depth = [len(re.findall(r"[>|]", m.group())) if (m := _MARK.match(l)) else 0 for l in lines]
+    depth = [len(re.findall(r"[>|:]", m.group())) if (m := _MARK.match(l)) else 0 for l in lines]
     quoted = [d > 0 for d in depth]
     wrapped = [False] * n
     for i in range(n):  # pieces that were broken off a quoted line
@@ -117,10 +121,9 @@ def describe(lines: list[str], counts: dict[int, tuple[int, int, int, int]], sen
             if j >= 0 and not quoted[j] and lines[j].rstrip().endswith(":") and (_DATE.search(lines[j]) or "@" in lines[j] or len(lines[j].split()) < 8):
                 intro[j] = True
                 k = j - 1
-                if k >= 0 and not blank[k] and not quoted[k] and not (_DATE.search(lines[j]) and "<" not in lines[j]) and not _ENDS.search(lines[k]):
-                    intro[k] = True
-                elif k >= 0 and not blank[k] and not quoted[k] and lines[j].lstrip().startswith("<"):
-                    intro[k] = True
+                begins = k == 0 or k > 0 and (blank[k - 1] or quoted[k - 1])
+                if k >= 0 and begins and not blank[k] and not quoted[k] and not _ENDS.search(lines[k]) and len(lines[k]) < 80:
+                    intro[k] = True  # an introduction over two lines
     head = [bool(_HEADER.match(l)) and not quoted[i] for i, l in enumerate(lines)]
     header = [False] * n
     i = 0
@@ -178,7 +181,7 @@ def certain(lines: list[str], x: np.ndarray) -> np.ndarray:
     y[(f["depth"] > 0) | (f["wrapped"] > 0) | (f["introduction"] > 0) | (f["header"] > 0) | (f["message_rule"] > 0) | (f["after_header"] > 0)] = 1
     y[(f["rule"] > 0) | ((f["after_closing"] > 0) & (f["after_header"] == 0))] = 1
     # Legal notices and system lines where no closing phrase stands before them: wording, repetition, place.
-    plain = (f["after_closing"] == 0) & (y == 0)
+    plain = (f["after_closing"] == 0) & (y != 1)
     notice = plain & (f["legal_paragraph"] >= 2)
     banner = plain & (f["first"] > 0) & ((f["bracketed"] > 0) | (f["legal"] > 0) | (f["capitals"] > 0.12)) & (f["senders"] >= 3) & (f["sentence_end"] > 0)
     tail = plain & (f["from_end"] == 0) & (f["words"] <= 8) & (f["senders"] >= 4) & (f["closing"] == 0) & (f["uid"] == 0) & (f["paragraph_lines"] == 1) & (f["sentence_end"] == 0)
@@ -226,7 +229,7 @@ def newly_written(
     )
     posted = mails.select("r", "sender", F.posexplode(F.arrays_zip("lines", "norm")).alias("at", "x")).where(F.length("x.norm") > 2)
     keyed = posted.select(
-        "r", (F.col("at") + 1).alias("no"), F.xxhash64("x.norm").alias("h"), F.xxhash64("sender").alias("s"), F.col("x.lines").rlike(r"^\s*[>|]").alias("q")
+        "r", (F.col("at") + 1).alias("no"), F.xxhash64("x.norm").alias("h"), F.xxhash64("sender").alias("s"), F.col("x.lines").rlike(MARK).alias("q")
     )
     by_sender = keyed.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(~F.col("q"), 1).otherwise(0)).alias("u"))
     by_line = by_sender.groupBy("h").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("senders"), F.sum("u").alias("unquoted")).where("all > 1")
