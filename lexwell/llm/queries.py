@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexwell.functions.stopwords import STOP_WORDS
 from lexwell.llm import canonical, distinctive, frequency, language, mail, mixing, mojibake, neardup, packing, tokenizer, webspam
 from lexwell.llm.common import saved, table
 
@@ -50,7 +51,9 @@ def p1_new_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def _languages(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "index_documents").where("content IS NOT NULL")
-    return language.languages(docs, "rowid", "content", _samples(spark, sf), language.normal_label(F.col("language")))
+    samples = _samples(spark, sf)
+    words = [(code, " ".join(sorted(STOP_WORDS[code]))) for code in sorted({code for code, _ in samples} & STOP_WORDS.keys())]
+    return language.languages(docs, "rowid", "content", samples + words, language.normal_label(F.col("language")))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
