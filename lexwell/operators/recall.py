@@ -16,6 +16,7 @@ from lexwell.sources.checkpoint import saved
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 SALT = 8
+FEW_GRAMS = 128
 DIGITS = 9  # ranks and scores are rounded, as sums of doubles depend on their order
 
 
@@ -64,6 +65,16 @@ def best_of(df: DataFrame, keys: list[str], order: list[Column], most: int | Col
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
 
 
+def _gram_postings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, rowid) of the wanted trigrams. Few of them are searched for in each text; more are joined with all of a text's."""
+    few = [r["gram"] for r in wanted.limit(FEW_GRAMS + 1).collect()]
+    if len(few) > FEW_GRAMS:
+        return trigram_postings(texts).join(wanted, "gram", "left_semi")
+    listed = F.array(*map(F.lit, few)) if few else F.array().cast("array<string>")
+    low = texts.select("rowid", F.lower("text").alias("low"))
+    return low.select("low", "rowid", F.explode(listed).alias("gram")).where(F.contains(F.col("low"), F.col("gram"))).select("gram", "rowid")
+
+
 def substring_hits(queries: DataFrame, tables: IndexTables) -> DataFrame:
     """(query_id, rowid, rank) of the documents whose text contains ``part``; queries: (query_id, part), part in lower case.
 
@@ -73,7 +84,7 @@ def substring_hits(queries: DataFrame, tables: IndexTables) -> DataFrame:
     texts = texts_of(tables.documents)
     parts = queries.select("part").distinct()
     grams = parts.select("part", F.explode(F.array_distinct(trigrams(F.col("part")))).alias("gram"))
-    used = saved(trigram_postings(texts).join(grams.select("gram").distinct(), "gram", "left_semi"))
+    used = saved(_gram_postings(texts, grams.select("gram").distinct()))
     counted = grams.join(used.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram", "left")
     rarest = counted.groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
     salt = F.pmod(F.xxhash64("rowid"), F.lit(SALT)).cast("int").alias("salt")
@@ -81,7 +92,7 @@ def substring_hits(queries: DataFrame, tables: IndexTables) -> DataFrame:
     candidates = spread.join(used.select("gram", "rowid", salt), ["gram", "salt"]).select("part", "rowid")
     verified = (
         candidates.join(texts.select("rowid", F.lower("text").alias("low")), "rowid")
-        .where(F.contains("low", "part"))
+        .where(F.contains(F.col("low"), F.col("part")))
         .select("part", "rowid", occurrences(F.col("low"), F.col("part")).cast("double").alias("f"))
     )
     return ranked_substrings(verified, tables).join(queries, "part").select("query_id", "rowid", "rank")
