@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexwell.catalogue import PLAIN, _tokens_sql, corpus, indexed, probes, query, table
+from lexwell.catalogue import PLAIN, _tokens_sql, indexed, query, table
 from lexwell.functions.analyzers import ANALYZERS
 from lexwell.functions.detect import detect
 from lexwell.functions.snippet import build_snippet
 from lexwell.functions.stopwords import STOP_WORDS
 from lexwell.functions.text import tokens
 from lexwell.operators import search
-from lexwell.schema import QUERIES, IndexOptions, QueryOptions, SnippetOptions
+from lexwell.schema import IndexOptions, QueryOptions, SnippetOptions
 from lexwell.sources.shipping import ship
 
 
@@ -101,49 +101,52 @@ def detect_language(spark, sf):
 ALL = IndexOptions(default_language="en").with_all_languages()
 
 
-def _searched(spark, sf, rows, index: IndexOptions, options: QueryOptions) -> DataFrame:
-    queries = spark.createDataFrame(rows, QUERIES)
+def _searched(spark, sf, asked: DataFrame, index: IndexOptions, options: QueryOptions) -> DataFrame:
+    """The pages of the queries over every index document; each query with its own language and wish for a snippet."""
     documents = table(spark, sf, "index_documents")
-    hits = search.search_tables(indexed(documents, index), queries, index, options)
+    hits = search.search_tables(indexed(documents, index), asked, index, options)
     return hits.select("query_id", "position", "doc_id", "score", "tier", "snippet")
 
 
-def _rows(language: str, *texts: str, snippet: bool = False) -> list[tuple]:
-    return [(i, t, "AnyTerm", 20, 0, language, snippet) for i, t in enumerate(texts, 1)]
+def asked_in(queries: DataFrame, language: str) -> DataFrame:
+    """The queries that are analyzed in a language; those that name none have the default one."""
+    return queries.where(F.lower(F.coalesce("language", F.lit(ALL.default_language))) == language)
 
 
-for _name, _language, _texts in (
-    ("search_stemmed_de", "de", ("Prüfungen", "Lagers", "bestätigte Quartalszahl")), ("search_stemmed_en", "en", ("payments", "checking meters", "drafted contracts")),
-    ("search_stemmed_fr", "fr", ("papier", "visiteur", "comptables préparent")),
-):
+for _language in ("de", "en", "fr"):
 
-    def _stemmed(spark, sf, language=_language, texts=_texts):
-        return _searched(spark, sf, _rows(language, *texts), replace(ALL, enable_phonetic=False), QueryOptions(enable_fuzzy=False))
+    def _stemmed(spark, sf, language=_language):
+        asked = asked_in(table(spark, sf, "search_queries"), language)
+        return _searched(spark, sf, asked, replace(ALL, enable_phonetic=False), QueryOptions(enable_fuzzy=False))
 
-    query(None, _name)(_stemmed)
-for _name, _language, _texts in (("search_phonetic_de", "de", ("Ladre", "Fertrag")), ("search_phonetic_en", "en", ("weelhouse", "kontrakt"))):
+    query(None, f"search_stemmed_{_language}")(_stemmed)
+for _language in ("de", "en"):
 
-    def _phonetic(spark, sf, language=_language, texts=_texts):
-        return _searched(spark, sf, _rows(language, *texts), ALL, QueryOptions(enable_fuzzy=False))
+    def _phonetic(spark, sf, language=_language):
+        return _searched(spark, sf, asked_in(table(spark, sf, "search_queries"), language), ALL, QueryOptions(enable_fuzzy=False))
 
-    query(None, _name)(_phonetic)
+    query(None, f"search_phonetic_{_language}")(_phonetic)
 
 
 @query()
 def search_fuzzy(spark, sf):
-    """The probes with fuzzy ranking over the table documents."""
-    hits = search.search_tables(indexed(corpus(spark, sf)), probes(spark), PLAIN, QueryOptions())
-    return hits.select("query_id", "position", "doc_id", "score", "tier")
+    """Every search query with fuzzy ranking over every index document."""
+    return _searched(spark, sf, table(spark, sf, "search_queries"), PLAIN, QueryOptions()).drop("snippet")
 
 
 @query()
 def search_snippets(spark, sf):
-    """The probes with snippets."""
-    wanted = probes(spark).withColumn("include_snippet", F.lit(True))
-    hits = search.search_tables(indexed(corpus(spark, sf)), wanted, PLAIN, QueryOptions(enable_fuzzy=False))
+    """Every search query over every index document, with snippets where it asks for them."""
+    hits = _searched(spark, sf, table(spark, sf, "search_queries"), PLAIN, QueryOptions(enable_fuzzy=False))
     return hits.select("query_id", "position", "doc_id", "snippet")
 
 
+@query()
+def search_batch(spark, sf):
+    """Every search query in its own language with stems, codes, fuzzy ranking and the snippets it asks for."""
+    return _searched(spark, sf, table(spark, sf, "search_queries"), ALL, QueryOptions())
+
+
 # Snippets of all documents
 
 _FOLDED = r"regexp_replace(strip_accents(lower(text)), '\p{Mn}+', '', 'g')"

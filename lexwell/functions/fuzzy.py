@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+
 
 def longest_common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, with one bit per character of ``a``."""
+    """Length of the longest common subsequence, with one bit per character of the longer text."""
     if not a or not b:
         return 0
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
+    if len(a) < len(b):
+        a, b = b, a
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = {c: int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little") for c in set(b)}
     full = (1 << len(a)) - 1
     row = full
     for c in b:
-        matched = row & at.get(c, 0)
+        matched = row & at[c]
         row = ((row + matched) | (row - matched)) & full
     return len(a) - row.bit_count()
 
@@ -29,15 +34,28 @@ def ratio(a: str, b: str) -> int:
     return round(200 * longest_common(a, b) / (len(a) + len(b)))
 
 
+@lru_cache(4096)
+def _words(text: str) -> tuple[frozenset[str], list[str]]:
+    """The distinct words of a text, unordered and sorted; a text is usually compared with several queries in a row."""
+    words = frozenset(text.split())
+    return words, sorted(words)
+
+
 def token_set_ratio(a: str, b: str) -> int:
     """The best ratio of common words, common words with the rest of ``a``, and with the rest of ``b``."""
-    words_a, words_b = set(a.split()), set(b.split())
+    (words_a, listed_a), (words_b, listed_b) = _words(a), _words(b)
     common = " ".join(sorted(words_a & words_b))
-    with_a = f"{common} {' '.join(sorted(words_a - words_b))}".strip()
-    with_b = f"{common} {' '.join(sorted(words_b - words_a))}".strip()
-    if common and (common == with_a or common == with_b):
+    rest_a, rest_b = " ".join(w for w in listed_a if w not in words_b), " ".join(w for w in listed_b if w not in words_a)
+    if not (rest_a and rest_b):
         return 100
-    return max(ratio(common, with_a), ratio(common, with_b), ratio(with_a, with_b))
+    if not common:
+        return ratio(rest_a, rest_b)
+    # All three begin with the common words: what is left to compare are the rests.
+    n, n_a, n_b = len(common), len(common) + 1 + len(rest_a), len(common) + 1 + len(rest_b)
+    least = max(round(200 * n / (n + n_a)), round(200 * n / (n + n_b)))
+    if round(200 * min(n_a, n_b) / (n_a + n_b)) <= least:
+        return least
+    return max(least, round(200 * (n + 1 + longest_common(rest_a, rest_b)) / (n_a + n_b)))
 
 
 def token_set_score(query: str | None, text: str | None) -> float:

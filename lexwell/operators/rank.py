@@ -48,7 +48,9 @@ def scored(pool: DataFrame, queries: DataFrame, tables: IndexTables, enable_fuzz
     # Texts and queries are folded before they meet: once each, not once for each candidate.
     documents = tables.documents.select("rowid", "doc_id", "metadata", "content", text.alias("text"), fold(text).alias("folded"))
     asked = queries.select("query_id", "query_text", fold(F.col("query_text")).alias("folded_query"))
-    found = normalized(pool).join(asked, "query_id").join(documents, "rowid")
+    # Dealt by a fixed number of tasks: by size alone few tasks would get all candidates, whose ranking is what costs time.
+    tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = normalized(pool).join(asked, "query_id").repartition(tasks, "rowid").join(documents, "rowid")
     norm = F.col("norm")
     score = FUZZY_SHARE * _fuzzy(ranker)("query_text", "text") + (1 - FUZZY_SHARE) * norm if enable_fuzzy else norm
     boosted = (F.length("folded_query") > 0) & F.contains(F.col("folded"), F.col("folded_query"))
