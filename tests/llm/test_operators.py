@@ -97,6 +97,18 @@ def test_repair_restores_confused_encodings():
         assert repair.text(odd) == (False, odd, "")
 
 
+def test_single_byte_reading_in_few_words():
+    """The language of the text tells a misread word, though its letters are those of a language in use."""
+    repair = mojibake.Repair(mojibake.Plausibility.learn([*SAMPLES, ("pt", "Não põe as mãos, os leõs, as lições e o sertõd.")]))
+    hungarian = "A könyvelő elveszítette a törött tömítést. Az új tervező előkészíti a raklapot erős eső miatt."
+    garbled = hungarian.replace("tervező", "tervezõ").replace("eső", "esõ")
+    assert repair.text(garbled)[:2] == (True, hungarian) and not repair.text(hungarian)[0]
+    russian = next(t for l, t in SAMPLES if l == "ru")
+    garbled = russian.replace("снова", "снова".encode("koi8_r").decode("cp1251"))
+    assert repair.text(garbled)[:2] == (True, russian)
+    assert not repair.text("A könyvelő és Simões elveszítette a törött tömítést, più.")[0]
+
+
 def test_repaired_rows(spark):
     df = texts(spark, "ok", None, "", "Ã¼ber fÃ¼r Ã¶ffnet", "Ã¼ber fÃ¼r Ã¶ffnet")
     got = rows(mojibake.repaired(df, "id", "text", SAMPLES).select("id", "affected", "restored"))
