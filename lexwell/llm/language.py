@@ -22,9 +22,24 @@ from lexwell.llm.common import ship
 from lexwell.llm.mojibake import Plausibility, Repair
 
 _WORD = re.compile(r"[^\W\d_]+")
-_STRUCTURE = re.compile(
-    r"^[>|\s*]*(?:\*?[^\W\d_]{1,12}\*?\s?:\*?\s.*|.*(?:@|www\.|https?:|\[cid:|-{4,}|_{4,}|\*{4,}).*)$", re.MULTILINE
-)
+# What is no text in any language; the other words of its line are.
+_NO_WORDS = re.compile(r"\[cid:[^\]\n]*\]?|[^\s<>()\[\]]*(?:@|www\.|https?:)[^\s<>()\[\]]*|-{4,}|_{4,}|\*{4,}")
+_HEADER = re.compile(r"[>|\s*]*\*?[^\W\d_]{1,12}\*?\s?:\*?\s(.*)")
+_HEADER_WORDS = 12
+
+
+def text_of(text: str) -> str:
+    """The text without addresses, rules and the lines of header blocks.
+
+    A line is a header only beside another header, and only if its value is short; a paragraph that begins like one is text.
+    """
+    lines = text.split("\n")
+    found = [_HEADER.fullmatch(l) for l in lines]
+    header = [m is not None and len(_WORD.findall(_NO_WORDS.sub(" ", m[1]))) < _HEADER_WORDS for m in found]
+    beside = [h and (i > 0 and header[i - 1] or i + 1 < len(header) and header[i + 1]) for i, h in enumerate(header)]
+    return _NO_WORDS.sub(" ", "\n".join(" " if b else l for l, b in zip(lines, beside)))
+
+
 # ISO 639-2 codes of the languages that have a two-letter code here.
 THREE_LETTERS = {
     "dan": "da", "deu": "de", "ger": "de", "eng": "en", "spa": "es", "fin": "fi", "fra": "fr", "fre": "fr", "hun": "hu", "ita": "it",
@@ -87,8 +102,8 @@ class LanguageFilter:
         return evidence
 
     def evidence(self, text: str) -> np.ndarray:
-        """One row per word of the text, without the lines of headers, addresses and rules."""
-        words = _WORD.findall(_STRUCTURE.sub(" ", text))
+        """One row per word of the text, without headers, addresses and rules."""
+        words = _WORD.findall(text_of(text))
         if not words:
             return np.zeros((0, len(self.languages)))
         return np.array([self.word(w.lower()) * (self.name_weight if self._name(w) else 1.0) for w in words])

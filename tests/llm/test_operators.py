@@ -272,6 +272,16 @@ def test_languages(spark):
     assert [r[0] for r in labels.select(language.normal_label(F.col("l"))).collect()] == ["en", "de", "de", None, None, None, "fr", None]
 
 
+def test_words_beside_addresses_and_after_colons_are_text():
+    f = language.LanguageFilter(SAMPLES)
+    german, french = (next(t for l, t in SAMPLES if l == x) for x in ("de", "fr"))
+    for line in (f"Hinweis: {german}", f"{german} info@x.example", f"{german} https://x.example/a?b=c ----"):
+        assert [s[0] for s in f.stretches(line)[0]] == ["de"], line
+    assert [s[0] for s in f.stretches(f"{german}\nZorkon: {french}")[0]] == ["de", "fr"]
+    assert language.text_of("From: the Wholesaler\nSubject: Ticket history\nBody") == " \n \nBody"
+    assert language.text_of("a www.x.example b\n<me@x.example>") == "a   b\n< >"
+
+
 def test_filter_false_positives():
     f = language.LanguageFilter(SAMPLES)
     assert (f.false < 0.01).all() and language.LanguageFilter([]).stretches("x") == ([], 0.0)
