@@ -49,23 +49,27 @@ def p1_new_text(spark: SparkSession, sf: str) -> DataFrame:
 # Problem 2
 
 
-def _languages(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "index_documents").where("content IS NOT NULL")
+def _languages(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:
     samples = _samples(spark, sf)
     words = [(code, " ".join(sorted(STOP_WORDS[code]))) for code in sorted({code for code, _ in samples} & STOP_WORDS.keys())]
-    return language.languages(docs, "rowid", "content", samples + words, language.normal_label(F.col("language")))
+    return language.languages(docs.withColumn("text", _text()), "rowid", "text", samples + words, language.normal_label(F.col("language")))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = _languages(spark, sf).where(
+    found = _languages(spark, sf, table(spark, sf, "index_documents").where("content IS NOT NULL")).where(
         (F.size("segments") > 1) | ((F.size("segments") == 1) & (F.col("label").isNull() | ((F.col("label") != F.col("language")) & (F.col("margin") >= 1.0))))
     )
     return found.select("rowid", F.explode("segments").alias("s")).select("rowid", "s.seg_no", "s.lang")
 
 
 def p2_languages(spark: SparkSession, sf: str) -> DataFrame:
-    """Every record with its language and confidence."""
-    return _languages(spark, sf).select("rowid", "label", "language", F.round("confidence", 4).alias("confidence"), F.size("segments").alias("stretches"))
+    """Every stretch of every record with its language and confidence, beside those of the record; a record without words has one row."""
+    found = _languages(spark, sf, table(spark, sf, "index_documents"))
+    rows = found.select("rowid", "label", "language", "confidence", F.size("segments").alias("stretches"), F.explode_outer("segments").alias("s"))
+    return rows.select(
+        "rowid", "label", "language", F.round("confidence", 4).alias("confidence"), "stretches", "s.seg_no", "s.lang",
+        F.round("s.confidence", 4).alias("seg_confidence"), "s.words",
+    )
 
 
 # Problem 3

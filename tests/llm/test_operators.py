@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lexwell.llm import canonical, distinctive, frequency, language, mail, mixing, mojibake, neardup, packing, tokenizer, webspam
+from lexwell.llm import canonical, distinctive, frequency, language, mail, mixing, mojibake, neardup, packing, queries, tokenizer, webspam
+from lexwell.schema import DOCUMENTS
 
 SAMPLES = [
     ("en", "The wholesaler forgot the ticket history, and she has lost the quarterly figures with great care during the inventory."),
@@ -282,6 +283,18 @@ def test_words_beside_addresses_and_after_colons_are_text():
     assert language.text_of("a www.x.example b\n<me@x.example>") == "a   b\n< >"
 
 
+def test_every_record_and_stretch_has_a_language(spark, tmp_path):
+    german, french = (next(t for l, t in SAMPLES if l == x) for x in ("de", "fr"))
+    made = [(1, "d1", None, "{}", "", f"{german}\n{french}"), (2, "d2", None, "{}", french, None), (3, "d3", "de", "{}", "", "12 34")]
+    spark.createDataFrame(made, DOCUMENTS).write.parquet(f"{tmp_path}/index_documents.parquet")
+    samples = [(i, l, t) for i, (l, t) in enumerate(SAMPLES)]
+    spark.createDataFrame(samples, "sample_id long, language string, text string").write.parquet(f"{tmp_path}/language_samples.parquet")
+    got = queries.p2_languages(spark, str(tmp_path)).collect()
+    assert sorted((r["rowid"], r["seg_no"] or 0, r["lang"]) for r in got) == [(1, 1, "de"), (1, 2, "fr"), (2, 1, "fr"), (3, 0, None)]
+    assert all(0 < r["confidence"] <= 1 and 0 < r["seg_confidence"] <= 1 for r in got if r["rowid"] < 3)
+    assert {r["rowid"] for r in queries.p2_found(spark, str(tmp_path)).collect()} == {1}
+
+
 def test_filter_false_positives():
     f = language.LanguageFilter(SAMPLES)
     assert (f.false < 0.01).all() and language.LanguageFilter([]).stretches("x") == ([], 0.0)
