@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexwell.api import SearchIndex
 from lexwell.functions import text as X
 from lexwell.operators import postings as P
 from lexwell.operators import rank, recall, search, upsert
-from lexwell.schema import QUERIES, IndexOptions
-from lexwell.sources.checkpoint import saved
+from lexwell.plans.match import planned
+from lexwell.schema import IndexOptions, QueryOptions, SearchIndexError, version_at_least
+from lexwell.sources.checkpoint import new_folder, saved
+from lexwell.sources.shipping import ship
+from lexwell.sources.store import Store, new_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAIN = search.base_only()
@@ -43,11 +48,22 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def indexed(documents: DataFrame, options: IndexOptions = PLAIN) -> P.IndexTables:
-    """Index tables whose postings and lengths are written once and read by every step that needs them."""
-    postings = saved(P.postings_of(documents, options))
-    doc_stats = saved(P.doc_stats_of(documents, postings))
-    return P.IndexTables(documents, postings, doc_stats, saved(P.term_stats_of(postings)), *P.totals_of(doc_stats))
+_STORED: dict[tuple, tuple[Store, dict]] = {}
+
+
+def indexed(documents: DataFrame, options: IndexOptions = PLAIN, name: str | None = None) -> P.IndexTables:
+    """A stored index of documents that have their rowids; one with a ``name`` is written once a session and used again."""
+    spark = documents.sparkSession
+    flags = tuple(sorted(options.flags().items()))
+    key = spark.sparkContext.applicationId, name, flags, tuple(sorted((c, id(a)) for c, a in options.analyzers.items()))
+    if name is None or key not in _STORED or not _STORED[key][0].intact():
+        store = Store(spark, new_folder(spark, "index"))
+        segment = store.write_segment(documents, options, options.buckets)
+        manifest = {**new_manifest(options), **{k: segment[k] for k in ("n_docs", "sum_dl", "sum_tri")}, "segments": [segment] if segment["n_docs"] else []}
+        store.commit(manifest, 1)
+        _STORED[key] = store, manifest
+    store, manifest = _STORED[key]
+    return store.tables(manifest)
 
 
 _A, _B = X.latin_accents()
@@ -117,9 +133,9 @@ def column_layout(spark, sf):
     return upsert.prepared(_entries(spark, sf), PLAIN).select("doc_id", "ord", "rank_text", "content").distinct()
 
 
-@query("SELECT DISTINCT doc_id, ord, substring(coalesce(content, ''), 1, 400) AS rank_text, CAST(NULL AS VARCHAR) AS content FROM entries")
+@query("SELECT DISTINCT doc_id, ord, coalesce(content, '') AS rank_text, CAST(NULL AS VARCHAR) AS content FROM entries")
 def column_layout_no_content(spark, sf):
-    options = replace(PLAIN, store_content=False, max_content_chars=400)
+    options = replace(PLAIN, store_content=False)
     return upsert.prepared(_entries(spark, sf), options).select("doc_id", "ord", "rank_text", "content").distinct()
 
 
@@ -147,12 +163,13 @@ def version_gate(spark, sf):
         F.when(key % 4 == 0, F.concat(part(7), F.lit("."), part(61))).when(key % 4 == 1, F.concat(F.lit("3."), part(61), F.lit("."), part(3)))
         .when(key % 4 == 2, F.concat(part(5), F.lit(".x"))).otherwise(F.concat(part(9), F.lit(".43.0")))
     )
-    parts = F.split("version", r"\.")
-    number = [F.coalesce(F.get(parts, i).try_cast("int"), F.lit(0)) for i in range(3)]
-    newer = F.struct(*number) >= F.struct(F.lit(3), F.lit(43), F.lit(0))
-    return table(spark, sf, "supplier").select("s_suppkey", made.alias("version")).withColumn(
-        "supported", F.when(F.col("version").rlike(r"^[0-9]+(\.[0-9]+){0,2}$"), newer)
-    )
+
+    @F.pandas_udf("boolean")
+    def supported(versions: pd.Series) -> pd.Series:
+        return versions.map(lambda v: version_at_least(v, (3, 43, 0))).astype(object)
+
+    ship(spark)
+    return table(spark, sf, "supplier").select("s_suppkey", made.alias("version")).withColumn("supported", supported("version"))
 
 
 # Index
@@ -178,7 +195,7 @@ def term_stats(spark, sf):
 @query(_POST + "SELECT rowid, dl, tri_len FROM dl")
 def doc_stats(spark, sf):
     docs = corpus(spark, sf)
-    return P.doc_stats_of(docs, P.postings_of(docs, PLAIN))
+    return P.doc_stats_of(P.all_postings(docs, PLAIN))
 
 
 @query(_POST + "SELECT count(*) AS n_docs, round(avg(dl), 6) AS avg_dl, round(avg(tri_len), 6) AS avg_tri FROM dl")
@@ -198,36 +215,58 @@ def dedupe_terms(spark, sf):
 
 # Searches. The SQL states the whole course for a table q of queries; each query shows one stage of it.
 
+# Queries beside those of search_queries: operator characters, prefixes, folding, paging, limits.
 PROBES = (
-    (1, "draft contract", "AllTerms", 10, 0), (2, "notice", "AllTerms", 50, 0), (3, "the seal", "AnyTerm", 20, 5), (4, "lager prüft", "AllTerms", 50, 0),
-    (5, "pallet pallet missing", "AnyTerm", 50, 0), (6, "zzzzqq", "AllTerms", 50, 0), (7, '"seal" OR NOT (pump)', "AnyTerm", 30, 0), (8, "se", "AllTerms", 50, 0),
-    (9, "hous", "AllTerms", 50, 0), (10, "   ", "AllTerms", 50, 0), (11, "the", "AllTerms", 50, 0), (12, "broken seal courier", "AllTerms", 500, 10),
-    (13, "SECOND COPY", "AllTerms", 50, 0), (14, "m'envoyer une", "AllTerms", 50, -3), (15, "§ 5", "AllTerms", 50, 0), (16, "клапана", "AllTerms", 0, 0),
-    (17, "d", "AnyTerm", 25, 0), (18, "wi", "AnyTerm", 40, 0),
+    ("draft contract", "AllTerms", 10, 0), ("notice", "AllTerms", 50, 0), ("the seal", "AnyTerm", 20, 5), ("lager prüft", "AllTerms", 50, 0),
+    ("pallet pallet missing", "AnyTerm", 50, 0), ("zzzzqq", "AllTerms", 50, 0), ('"seal" OR NOT (pump)', "AnyTerm", 30, 0), ("se", "AllTerms", 50, 0),
+    ("hous", "AllTerms", 50, 0), ("   ", "AllTerms", 50, 0), ("the", "AllTerms", 50, 0), ("broken seal courier", "AllTerms", 500, 10),
+    ("SECOND COPY", "AllTerms", 50, 0), ("m'envoyer une", "AllTerms", 50, -3), ("§ 5", "AllTerms", 50, 0), ("клапана", "AllTerms", 0, 0),
+    ("d", "AnyTerm", 25, 0), ("wi", "AnyTerm", 40, 0),
 )
-_LITERALS = ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}', '{m}', {n}, {o})" for i, t, m, n, o in PROBES)
-_PROBE_SQL = f"SELECT CAST(query_id AS BIGINT) AS query_id, query_text, term_match, result_limit, result_offset FROM (VALUES {_LITERALS}) v(query_id, query_text, term_match, result_limit, result_offset)"
+_LITERALS = ", ".join(f"({-i}, '{t.replace(chr(39), chr(39) * 2)}', '{m}', {n}, {o})" for i, (t, m, n, o) in enumerate(PROBES, 1))
+_FIELDS = "query_id, query_text, term_match, result_limit, result_offset"
+# The query set of searches: all search queries whose id is divisible by 100, and the probes.
+_ASKED_SQL = f"SELECT {_FIELDS} FROM search_queries WHERE query_id % 100 = 0 UNION ALL SELECT CAST(query_id AS BIGINT), query_text, term_match, result_limit, result_offset FROM (VALUES {_LITERALS}) v({_FIELDS})"
 POOL = 300
 
 
-def course(queries: str, docs: str, trigram: bool = True) -> str:
-    """The CTEs of a search without fuzzy ranking, up to the page."""
+def course(queries: str, docs: str, trigram: bool = True, analyzed: str | None = None, default_language: str | None = None) -> str:
+    """The CTEs of a search without fuzzy ranking, up to the page.
+
+    ``docs`` has rowid, doc_id, t and lang. ``analyzed``, if given, is the SQL of CTEs that end with a table ``analysis`` of
+    (lang, token, stem, code), made from a table ``vocab`` of (lang, token); '' and null are no stem and no code.
+    """
+    asked_language = f"coalesce(language, {default_language!r})" if default_language else "language"
+    derived = f"""
+doctok AS (SELECT DISTINCT rowid, lower(lang) AS lang, unnest({_tokens_sql('t')}) AS token FROM docs),
+qtok AS (SELECT DISTINCT query_id, lower(lang) AS lang, unnest(w) AS token FROM q),
+vocab AS (SELECT lang, token FROM doctok UNION SELECT lang, token FROM qtok),
+{analyzed},
+docval AS (SELECT DISTINCT rowid, 'stem' AS stream, stem AS v FROM doctok d JOIN analysis a ON a.token = d.token AND a.lang IS NOT DISTINCT FROM d.lang WHERE stem <> ''
+  UNION ALL SELECT DISTINCT rowid, 'phonetic', code FROM doctok d JOIN analysis a ON a.token = d.token AND a.lang IS NOT DISTINCT FROM d.lang WHERE code <> ''),
+qval AS (SELECT DISTINCT query_id, 'stem' AS stream, stem AS v FROM qtok d JOIN analysis a ON a.token = d.token AND a.lang IS NOT DISTINCT FROM d.lang WHERE stem <> ''
+  UNION ALL SELECT DISTINCT query_id, 'phonetic', code FROM qtok d JOIN analysis a ON a.token = d.token AND a.lang IS NOT DISTINCT FROM d.lang WHERE code <> ''),
+""" if analyzed else ""
+    more_terms = f" UNION ALL SELECT stream, rowid, unnest({_terms_sql('v')}) FROM docval" if analyzed else ""
+    more_phrases = f" UNION ALL SELECT query_id, NULL, NULL, NULL, stream, {_fold_sql('v')} FROM qval" if analyzed else ""
     return f"""
 WITH docs AS ({docs}),
-post AS (SELECT rowid, term, CAST(count(*) AS INTEGER) AS tf FROM (SELECT rowid, unnest({_terms_sql('t')}) AS term FROM docs) GROUP BY rowid, term),
-dl AS (SELECT d.rowid, coalesce(sum(p.tf), 0) AS dl, greatest(length(any_value(d.t)) - 2, 0) AS tri FROM docs d LEFT JOIN post p USING (rowid) GROUP BY d.rowid),
-tot AS (SELECT count(*) AS n, avg(dl) AS avg_dl, avg(tri) AS avg_tri FROM dl),
 q0 AS (SELECT *, {_tokens_sql('query_text')} AS w, length(query_text) AS units FROM ({queries}) WHERE regexp_matches(query_text, '\\S')),
 q AS (SELECT query_id, query_text, coalesce(term_match, 'AllTerms') = 'AllTerms' AS all_terms, result_limit, coalesce(result_offset, 0) AS result_offset, w,
-  len(w) AS k, units, CASE WHEN units >= 3 AND {str(trigram).upper()} THEN lower(query_text) END AS part FROM q0),
+  {asked_language if analyzed else 'NULL'} AS lang, len(w) AS k, units, CASE WHEN units >= 3 AND {str(trigram).upper()} THEN lower(query_text) END AS part FROM q0),
+{derived}
+post AS (SELECT stream, rowid, term, CAST(count(*) AS INTEGER) AS tf FROM (SELECT 'base' AS stream, rowid, unnest({_terms_sql('t')}) AS term FROM docs{more_terms})
+  GROUP BY stream, rowid, term),
+dl AS (SELECT d.rowid, coalesce(sum(p.tf), 0) AS dl, greatest(length(any_value(d.t)) - 2, 0) AS tri FROM docs d LEFT JOIN post p USING (rowid) GROUP BY d.rowid),
+tot AS (SELECT count(*) AS n, avg(dl) AS avg_dl, avg(tri) AS avg_tri FROM dl),
 word AS (SELECT query_id, all_terms, k, unnest(range(0, len(w))) AS no, unnest(w) AS raw FROM q),
-phrase AS (SELECT query_id, all_terms, k, no, {_fold_sql('raw')} AS term FROM word),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-whole AS (SELECT query_id, all_terms, k, no, rowid, CAST(tf AS DOUBLE) AS f, df FROM phrase JOIN post USING (term) JOIN df USING (term)),
+phrase AS (SELECT query_id, all_terms, k, no, 'base' AS stream, {_fold_sql('raw')} AS term FROM word{more_phrases}),
+df AS (SELECT stream, term, count(*) AS df FROM post GROUP BY stream, term),
+whole AS (SELECT query_id, stream, all_terms, k, no, rowid, CAST(tf AS DOUBLE) AS f, df FROM phrase JOIN post USING (stream, term) JOIN df USING (stream, term)),
 prefix AS (SELECT query_id, rowid, CAST(sum(tf) AS DOUBLE) AS f FROM (SELECT query_id, {_fold_sql('w[-1]')} AS p FROM q WHERE units < 3 AND k > 0) x
-  JOIN post ON starts_with(term, p) GROUP BY query_id, rowid),
+  JOIN post ON stream = 'base' AND starts_with(term, p) GROUP BY query_id, rowid),
 begun AS (SELECT query_id, rowid, f, count(*) OVER (PARTITION BY query_id) AS df FROM prefix),
-hit AS (SELECT query_id, 'any' AS pass, rowid, f, df FROM whole UNION ALL SELECT query_id, 'strict', rowid, f, df FROM whole WHERE all_terms AND k > 1
+hit AS (SELECT query_id, 'any' AS pass, rowid, f, df FROM whole UNION ALL SELECT query_id, 'strict', rowid, f, df FROM whole WHERE stream = 'base' AND all_terms AND k > 1
   UNION ALL SELECT query_id, 'any', rowid, f, df FROM begun),
 shares AS (SELECT query_id, pass, rowid, (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END)
   * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avg_dl)) AS share FROM hit JOIN dl USING (rowid), tot),
@@ -254,46 +293,46 @@ normed AS (SELECT *, CASE WHEN max(rank) OVER w = min(rank) OVER w THEN 1.0 ELSE
 boosted AS (SELECT query_id, rowid, doc_id, tier, norm, contains(regexp_replace(strip_accents(lower(t)), '\\p{{Mn}}+', '', 'g'),
   regexp_replace(strip_accents(lower(query_text)), '\\p{{Mn}}+', '', 'g')) AS exact FROM normed JOIN docs USING (rowid) JOIN q USING (query_id)),
 scored AS (SELECT query_id, rowid, doc_id, tier, round(CASE WHEN exact THEN least(1.0, norm + 0.15) ELSE norm END, 9) AS score FROM boosted),
-placed AS (SELECT s.query_id, doc_id, tier, score, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY tier, score DESC, doc_id) AS INTEGER) AS position, result_limit, result_offset
+placed AS (SELECT s.query_id, rowid, doc_id, tier, score, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY tier, score DESC, doc_id) AS INTEGER) AS position, result_limit, result_offset
   FROM scored s JOIN q USING (query_id)),
-page AS (SELECT query_id, position, doc_id, tier, score FROM placed
+page AS (SELECT query_id, position, rowid, doc_id, tier, score FROM placed
   WHERE position > greatest(result_offset, 0) AND position <= greatest(result_offset, 0) + greatest(result_limit, 0))
 """
 
 
-_DOCUMENTS = "SELECT doc_id AS rowid, CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS t FROM documents"
-_INDEX_DOCUMENTS = "SELECT rowid, doc_id, coalesce(content, rank_text, '') AS t FROM index_documents"
-_COURSE = course(_PROBE_SQL, _DOCUMENTS)
+_INDEX_DOCUMENTS = "SELECT rowid, doc_id, coalesce(content, rank_text, '') AS t, language AS lang FROM index_documents"
 
 
-def _only(*ids: int) -> str:
-    return f"WHERE query_id IN ({', '.join(map(str, ids))})"
+def asked(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
+    """The query set of searches that fulfil a condition (SQL that Spark and DuckDB both understand)."""
+    rows = [(-i, t, m, n, o) for i, (t, m, n, o) in enumerate(PROBES, 1)]
+    few = spark.createDataFrame(rows, "query_id bigint, query_text string, term_match string, result_limit int, result_offset int")
+    listed = table(spark, sf, "search_queries").where("query_id % 100 = 0").select(*few.columns)
+    return listed.unionByName(few).where(where)
 
 
-def probes(spark: SparkSession, *ids: int) -> DataFrame:
-    rows = [(i, t, m, n, o, None, False) for i, t, m, n, o in PROBES if not ids or i in ids]
-    return spark.createDataFrame(rows, QUERIES)
+def _course(where: str = "true") -> str:
+    return course(f"SELECT * FROM ({_ASKED_SQL}) WHERE {where}", _INDEX_DOCUMENTS)
 
 
 class Course:
-    """The stages of a search for some probes over the table documents."""
+    """The stages of a search of some queries over the whole table index_documents."""
 
-    def __init__(self, spark: SparkSession, sf: str, *ids: int) -> None:
-        self.tables = indexed(corpus(spark, sf))
-        self.plans = search.planned(probes(spark, *ids), PLAIN)
+    def __init__(self, spark: SparkSession, sf: str, where: str = "true", queries: DataFrame | None = None) -> None:
+        self.tables = indexed(table(spark, sf, "index_documents"), PLAIN, f"{sf}/index_documents")
+        self.plans = saved(planned(asked(spark, sf, where) if queries is None else queries, PLAIN, QueryOptions()))
 
     def ranked(self) -> DataFrame:
-        return recall.bm25(recall.phrase_hits(search.phrases_of(self.plans, PLAIN), self.tables), self.tables)
+        return recall.bm25(self.plans, self.tables)
 
     def strict(self) -> DataFrame:
-        wanted = self.plans.where("all_terms AND tokens > 1").select("query_id", "tokens")
-        return self.ranked().where("pass = 'strict'").join(wanted, "query_id").where("matched = tokens").select("query_id", "rowid", "rank")
+        return self.ranked().where("pass = 'strict'").select("query_id", "rowid", "rank")
 
     def substrings(self) -> DataFrame:
         return recall.substring_hits(self.plans.where("part IS NOT NULL").select("query_id", "part"), self.tables)
 
     def pool(self) -> DataFrame:
-        return recall.candidate_pool(self.plans, search.phrases_of(self.plans, PLAIN), self.tables, POOL)
+        return recall.candidate_pool(self.plans, self.tables, POOL)
 
     def scored(self, min_score: float = 0.0) -> DataFrame:
         return rank.scored(self.pool(), self.plans, self.tables, False, None, min_score)
@@ -303,115 +342,152 @@ class Course:
         return hits.select("query_id", F.col("position").cast("int").alias("position"), "doc_id", "tier", "score")
 
 
-_ANY = "SELECT query_id, rowid, rank FROM ranked WHERE pass = 'any' AND "
-for _name, _ids in {
-    "match_any": (1, 2, 3), "match_duplicate_terms": (5,), "match_no_hit": (6,), "match_operators_literal": (7,), "bm25_any": (1, 3, 4, 13),
-    "bm25_common_term_clamp": (11,), "bm25_prefix": (8, 17, 18), "match_prefix": (8, 18),
+_ANY = "SELECT query_id, rowid, rank FROM ranked WHERE pass = 'any'"
+for _name, _where in {
+    "match_any": "term_match = 'AnyTerm'", "match_duplicate_terms": "query_id = -5", "match_no_hit": "query_id = -6",
+    "match_operators_literal": "query_id = -7 OR query_text LIKE '%\"%' OR query_text LIKE '%(%' OR query_text LIKE '%*%'", "bm25_any": "true",
+    "bm25_common_term_clamp": "query_id = -11", "bm25_prefix": "length(query_text) < 3", "match_prefix": "length(query_text) = 2",
 }.items():
 
-    def _any(spark, sf, ids=_ids):
-        return Course(spark, sf, *ids).ranked().where("pass = 'any'").select("query_id", "rowid", "rank")
+    def _any(spark, sf, where=_where):
+        return Course(spark, sf, where).ranked().where("pass = 'any'").select("query_id", "rowid", "rank")
 
-    query(_COURSE + _ANY + _only(*_ids).removeprefix("WHERE "), _name)(_any)
+    query(_course(_where) + _ANY, _name)(_any)
 
+_MANY = "query_text LIKE '% %'"
 
-@query(_COURSE + "SELECT query_id, rowid FROM strict_all " + _only(1, 4, 12))
+
+@query(_course(_MANY) + "SELECT query_id, rowid FROM strict_all")
 def match_all(spark, sf):
-    return Course(spark, sf, 1, 4, 12).strict().select("query_id", "rowid")
+    return Course(spark, sf, _MANY).strict().select("query_id", "rowid")
 
 
-@query(_COURSE + "SELECT query_id, rowid, rank FROM strict_all")
+@query(_course() + "SELECT query_id, rowid, rank FROM strict_all")
 def bm25_all(spark, sf):
     return Course(spark, sf).strict()
 
 
-@query(_COURSE + "SELECT query_id, rowid, rank FROM substring_rank")
+@query(_course() + "SELECT query_id, rowid, rank FROM substring_rank")
 def bm25_substring(spark, sf):
     return Course(spark, sf).substrings()
 
 
-@query(_COURSE + "SELECT query_id, rowid FROM substring_rank " + _only(9, 14, 15))
+@query(_course("length(query_text) = 3 OR query_id = -9") + "SELECT query_id, rowid FROM substring_rank")
 def match_substring(spark, sf):
-    return Course(spark, sf, 9, 14, 15).substrings().select("query_id", "rowid")
+    """Parts of three characters, whose trigram is the answer, and longer ones, which are verified."""
+    return Course(spark, sf, "length(query_text) = 3 OR query_id = -9").substrings().select("query_id", "rowid")
 
 
-@query(_COURSE + "SELECT query_id, rowid, tier FROM merged " + _only(1, 4, 12))
+@query(_course(_MANY) + "SELECT query_id, rowid, tier FROM pool")
 def match_fallback(spark, sf):
     """Strict matches, and any-term matches where these are fewer than the limit."""
-    course_ = Course(spark, sf, 1, 4, 12)
-    pool = recall.candidate_pool(course_.plans, search.phrases_of(course_.plans, PLAIN), course_.tables, POOL)
-    return pool.select("query_id", "rowid", "tier")
-
+    return Course(spark, sf, _MANY).pool().select("query_id", "rowid", "tier")
 
-SQL["match_fallback"] = _COURSE + "SELECT query_id, rowid, tier FROM pool " + _only(1, 4, 12)
 
-
-@query(_COURSE + "SELECT query_id, rowid, rank FROM pool " + _only(2, 9, 13))
+@query(_course("length(query_text) >= 3") + "SELECT query_id, rowid, rank FROM pool")
 def match_union_keep_min(spark, sf):
     """Token and substring matches of one query, each document with the lower rank."""
-    return Course(spark, sf, 2, 9, 13).pool().select("query_id", "rowid", "rank")
+    return Course(spark, sf, "length(query_text) >= 3").pool().select("query_id", "rowid", "rank")
 
 
-@query(_COURSE + "SELECT query_id, rowid, tier FROM pool")
+@query(_course() + "SELECT query_id, rowid, tier FROM pool")
 def tier_merge(spark, sf):
     return Course(spark, sf).pool().select("query_id", "rowid", "tier")
 
 
-@query(_COURSE + "SELECT query_id, rowid, tier, rank FROM pool")
+@query(_course() + "SELECT query_id, rowid, tier, rank FROM pool")
 def pool_topk(spark, sf):
     return Course(spark, sf).pool()
 
 
-@query(_COURSE + "SELECT query_id, rowid, round(norm, 9) AS norm FROM normed")
+@query(_course() + "SELECT query_id, rowid, round(norm, 9) AS norm FROM normed")
 def normalize_pool(spark, sf):
     return rank.normalized(Course(spark, sf).pool()).select("query_id", "rowid", F.round("norm", 9).alias("norm"))
 
 
-@query(_COURSE + "SELECT query_id, doc_id, score FROM scored")
+@query(_course() + "SELECT query_id, doc_id, score FROM scored")
 def exact_boost(spark, sf):
     return Course(spark, sf).scored().select("query_id", "doc_id", "score")
 
 
-@query(_COURSE + "SELECT query_id, doc_id, score FROM scored WHERE score >= 0.5")
+@query(_course() + "SELECT query_id, doc_id, score FROM scored WHERE score >= 0.5")
 def min_score(spark, sf):
     return Course(spark, sf).scored(0.5).select("query_id", "doc_id", "score")
 
 
-@query(_COURSE + "SELECT query_id, position, doc_id, score FROM page " + _only(3, 12, 14, 16))
+@query(_course("result_offset <> 0 OR result_limit = 0") + "SELECT query_id, position, doc_id, score FROM page")
 def page_offset(spark, sf):
-    return Course(spark, sf, 3, 12, 14, 16).page().drop("tier")
+    return Course(spark, sf, "result_offset <> 0 OR result_limit = 0").page().drop("tier")
 
 
-@query(_COURSE + "SELECT query_id, position, doc_id, tier FROM page " + _only(4, 12, 14))
+@query(_course(_MANY) + "SELECT query_id, position, doc_id, tier FROM page")
 def tier_order(spark, sf):
-    return Course(spark, sf, 4, 12, 14).page().drop("score")
+    return Course(spark, sf, _MANY).page().drop("score")
+
+
+# Every search query, by mode
+
+_QUERIES_SQL = f"SELECT {_FIELDS}, language, include_snippet FROM search_queries"
+for _name, _where in {
+    "search_nofuzzy_allterms": "term_match = 'AllTerms' AND query_text LIKE '% %'", "search_nofuzzy_anyterms": "term_match = 'AnyTerm'",
+    "search_single_token": "query_text NOT LIKE '% %'", "search_batch_nofuzzy": "true",
+}.items():
+
+    def _nofuzzy(spark, sf, where=_where):
+        return Course(spark, sf, queries=table(spark, sf, "search_queries").where(where)).page().drop("tier")
+
+    query(course(f"SELECT * FROM ({_QUERIES_SQL}) WHERE {_where}", _INDEX_DOCUMENTS) + "SELECT query_id, position, doc_id, score FROM page", _name)(_nofuzzy)
+
 
+# The index in a folder
 
-@query(_COURSE + "SELECT query_id, position, doc_id, score FROM page " + _only(1, 4, 12, 13))
-def search_nofuzzy_allterms(spark, sf):
-    return Course(spark, sf, 1, 4, 12, 13).page().drop("tier")
 
+def opened(spark: SparkSession, sf: str, options: IndexOptions = PLAIN) -> SearchIndex:
+    """A new index in the shared folder, for the metadata of entries."""
+    kind = table(spark, sf, "entries").schema["metadata"].dataType
+    return SearchIndex.open(spark, new_folder(spark, "index"), replace(options, metadata_schema=kind))
 
-@query(_COURSE + "SELECT query_id, position, doc_id, score FROM page " + _only(3, 5, 7, 17, 18))
-def search_nofuzzy_anyterms(spark, sf):
-    return Course(spark, sf, 3, 5, 7, 17, 18).page().drop("tier")
+
+def filled(spark: SparkSession, sf: str, options: IndexOptions = PLAIN) -> SearchIndex:
+    """A new index with the log of entries. A first batch submits all ids with empty texts, so rowids are in the order of
+    the ids, as the SQL numbers them; the second one, the whole log, replaces them all."""
+    index = opened(spark, sf, options)
+    entries = _entries(spark, sf)
+    empty = [F.lit("").alias("content"), F.lit(None).cast(entries.schema["metadata"].dataType).alias("metadata"), F.lit(None).cast("string").alias("language")]
+    index.add_range(entries.select("doc_id", *empty, F.lit(0).cast("bigint").alias("ord")).distinct())
+    index.add_range(entries)
+    return index
 
 
-@query(_COURSE + "SELECT query_id, position, doc_id, score FROM page " + _only(2, 6, 8, 9, 11))
-def search_single_token(spark, sf):
-    return Course(spark, sf, 2, 6, 8, 9, 11).page().drop("tier")
+_LATEST = """
+(SELECT doc_id, max_by(struct_pack(c := coalesce(content, ''), l := language, o := ord, m := metadata), struct_pack(o := ord, c := coalesce(content, ''), l := coalesce(language, ''))) AS e
+  FROM entries GROUP BY doc_id)"""
+_ENTRY_DOCUMENTS = f"SELECT row_number() OVER (ORDER BY doc_id) AS rowid, doc_id, e.c AS t, e.l AS lang FROM {_LATEST}"
 
 
-@query(course("SELECT query_id, query_text, term_match, result_limit, result_offset FROM search_queries", _INDEX_DOCUMENTS) + "SELECT query_id, position, doc_id, score FROM page")
-def search_batch_nofuzzy(spark, sf):
-    """Every search query over every index document, without fuzzy ranking."""
-    tables = indexed(table(spark, sf, "index_documents"))
-    plans = search.planned(table(spark, sf, "search_queries"), PLAIN)
-    pool = recall.candidate_pool(plans, search.phrases_of(plans, PLAIN), tables, POOL)
-    hits = rank.paged(rank.scored(pool, plans, tables, False), plans)
+def _answers(index: SearchIndex, queries: DataFrame) -> DataFrame:
+    hits = index.search_batch(queries, QueryOptions(enable_fuzzy=False))
     return hits.select("query_id", F.col("position").cast("int").alias("position"), "doc_id", "score")
 
 
+@query(course(_QUERIES_SQL, _ENTRY_DOCUMENTS) + "SELECT query_id, position, doc_id, score FROM page")
+def search_stored_index(spark, sf):
+    """An index is opened and filled by two changes, and answers every search query from its two segments."""
+    return _answers(filled(spark, sf), table(spark, sf, "search_queries"))
+
+
+_GONE = f"SELECT * FROM ({_ENTRY_DOCUMENTS}) WHERE doc_id NOT IN (SELECT doc_id FROM search_hits WHERE hit_pos = 1)"
+
+
+@query(course(_QUERIES_SQL, _GONE) + "SELECT query_id, position, doc_id, score FROM page")
+def optimize_keeps_results(spark, sf):
+    """The same after many documents were removed and all segments were merged into one."""
+    index = filled(spark, sf)
+    index.remove_all(table(spark, sf, "search_hits").where("hit_pos = 1").select("doc_id"))
+    index.optimize()
+    return _answers(index, table(spark, sf, "search_queries"))
+
+
 # Changes
 
 _LAST = """
@@ -426,63 +502,80 @@ def upsert_last_wins(spark, sf):
     return kept.select("doc_id", "ord", "content", "language")
 
 
-def _current(spark, sf):
-    return table(spark, sf, "index_documents").where("rowid % 2 = 0")
+_LOG = "(SELECT * FROM entries UNION ALL SELECT * REPLACE (concat(doc_id, '-x') AS doc_id) FROM entries)"
 
 
 @query(
-    _LAST + ", cur AS (SELECT rowid, doc_id, coalesce(content, rank_text) AS t FROM index_documents WHERE rowid % 2 = 0), "
+    _LAST.replace("FROM entries", f"FROM {_LOG}") + ", cur AS (SELECT rowid, doc_id FROM index_documents), "
     "new AS (SELECT doc_id, e, row_number() OVER (ORDER BY e.o, doc_id) + (SELECT max(rowid) FROM cur) AS rowid FROM latest WHERE doc_id NOT IN (SELECT doc_id FROM cur)) "
-    "SELECT rowid, doc_id, e.c AS text FROM latest JOIN (SELECT rowid, doc_id FROM cur) USING (doc_id) UNION ALL SELECT rowid, doc_id, e.c FROM new "
-    "UNION ALL SELECT rowid, doc_id, t FROM cur WHERE doc_id NOT IN (SELECT doc_id FROM latest)"
+    "SELECT rowid, doc_id, e.c AS text FROM latest JOIN cur USING (doc_id) UNION ALL SELECT rowid, doc_id, e.c FROM new "
+    "UNION ALL SELECT rowid, doc_id, coalesce(content, rank_text) FROM index_documents WHERE doc_id NOT IN (SELECT doc_id FROM latest)"
 )
 def upsert_keeps_rowid(spark, sf):
-    """The log of entries over an index that already has every other record: known ids keep their rowid, new ones count on."""
-    incoming = upsert.prepared(upsert.last_entries(_entries(spark, sf)), PLAIN)
-    merged = upsert.upserted(_current(spark, sf), incoming)
+    """The log of entries, and all of it once more under new ids, over the whole index: known ids keep their rowid, new ones count on."""
+    entries = _entries(spark, sf)
+    log = entries.unionByName(entries.withColumn("doc_id", F.concat("doc_id", F.lit("-x"))))
+    merged = upsert.upserted(table(spark, sf, "index_documents"), upsert.prepared(upsert.last_entries(log), PLAIN))
     return merged.select("rowid", "doc_id", F.coalesce("content", "rank_text").alias("text"))
 
 
-@query("SELECT rowid, doc_id FROM index_documents WHERE doc_id NOT IN (SELECT doc_id FROM search_hits)")
+@query("SELECT DISTINCT doc_id FROM entries WHERE doc_id NOT IN (SELECT doc_id FROM search_hits WHERE hit_pos = 1)")
 def remove_ids(spark, sf):
-    return upsert.removed(table(spark, sf, "index_documents"), table(spark, sf, "search_hits")).select("rowid", "doc_id")
+    index = filled(spark, sf)
+    index.remove_all(table(spark, sf, "search_hits").where("hit_pos = 1").select("doc_id"))
+    return index.documents().select("doc_id")
 
 
-@query("SELECT DISTINCT doc_id, doc_id IN (SELECT doc_id FROM index_documents) AS present FROM (SELECT doc_id FROM search_hits UNION ALL SELECT concat(doc_id, '-x') FROM entries)")
+@query("SELECT DISTINCT doc_id FROM (SELECT doc_id FROM search_hits UNION ALL SELECT concat(doc_id, '-x') FROM entries) WHERE doc_id IN (SELECT doc_id FROM entries)")
 def contains_ids(spark, sf):
-    ids = table(spark, sf, "search_hits").select("doc_id").unionByName(table(spark, sf, "entries").select(F.concat("doc_id", F.lit("-x")).alias("doc_id"))).distinct()
-    known = table(spark, sf, "index_documents").select("doc_id", F.lit(True).alias("there"))
-    return ids.join(known, "doc_id", "left").select("doc_id", F.coalesce("there", F.lit(False)).alias("present"))
+    ids = table(spark, sf, "search_hits").select("doc_id").unionByName(table(spark, sf, "entries").select(F.concat("doc_id", F.lit("-x")).alias("doc_id")))
+    return filled(spark, sf).contained(ids)
 
 
-@query("SELECT count(*) AS n FROM index_documents")
+@query("SELECT count(DISTINCT doc_id) AS n FROM entries")
 def count_docs(spark, sf):
-    return table(spark, sf, "index_documents").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(filled(spark, sf).count(),)], "n bigint")
 
 
-@query("SELECT rowid, doc_id FROM index_documents WHERE false")
+@query("SELECT doc_id FROM entries WHERE false")
 def clear_index(spark, sf):
-    current = table(spark, sf, "index_documents")
-    return upsert.removed(current, current.select("doc_id")).select("rowid", "doc_id")
+    index = filled(spark, sf)
+    index.clear()
+    return index.documents().select("doc_id")
 
 
-@query(
-    _LAST + ", t AS (SELECT doc_id, unnest(" + _terms_sql("e.c") + ") AS term FROM latest) SELECT doc_id, term, CAST(count(*) AS INTEGER) AS tf FROM t GROUP BY doc_id, term"
-)
+@query(_LAST + ", t AS (SELECT doc_id, unnest(" + _terms_sql("e.c") + ") AS term FROM latest) SELECT doc_id, term, CAST(count(*) AS INTEGER) AS tf FROM t GROUP BY doc_id, term")
 def rebuild_equals_build(spark, sf):
-    """Postings of the entries after all changes, derived anew from the stored texts."""
-    incoming = upsert.prepared(upsert.last_entries(_entries(spark, sf)), PLAIN)
-    documents = saved(upsert.upserted(_current(spark, sf).where("false"), incoming))
-    return P.postings_of(documents, PLAIN).join(documents.select("rowid", "doc_id"), "rowid").select("doc_id", "term", "tf")
+    """Postings of an index after all changes, derived anew from the stored texts."""
+    index = filled(spark, sf)
+    index.rebuild()
+    tables = index.tables()
+    return tables.postings.where("stream = 'base'").join(tables.documents.select("rowid", "doc_id"), "rowid").select("doc_id", "term", "tf")
 
 
-@query("SELECT count(*) AS accepted FROM entries WHERE (SELECT count(*) FROM entries WHERE concat(doc_id, '') = '' OR doc_id IS NULL) + 1 = 0")
+@query("SELECT true AS rejected, count(DISTINCT doc_id) AS documents FROM entries")
 def batch_with_invalid_id_is_rejected(spark, sf):
-    """A batch with one entry without id adds nothing."""
-    entries = _entries(spark, sf)
-    batch = entries.unionByName(entries.limit(1).withColumn("doc_id", F.lit("")))
-    accepted = batch if not upsert.invalid(batch).limit(1).count() else batch.where("false")
-    return accepted.agg(F.count(F.lit(1)).alias("accepted"))
+    """A batch with one entry without id raises and adds nothing."""
+    index, entries = filled(spark, sf), _entries(spark, sf)
+    batch = entries.withColumn("doc_id", F.concat("doc_id", F.lit("-x"))).unionByName(entries.limit(1).withColumn("doc_id", F.lit("")))
+    try:
+        index.add_range(batch)
+        rejected = False
+    except ValueError:
+        rejected = True
+    return index.documents().agg(F.lit(rejected).alias("rejected"), F.count(F.lit(1)).alias("documents"))
+
+
+@query("SELECT DISTINCT store_content, n FROM (SELECT 'false' AS store_content, (SELECT count(DISTINCT doc_id) FROM entries) AS n)")
+def open_verifies_flags(spark, sf):
+    """An index opened again has the flags and documents it was made with; other flags are refused."""
+    index = filled(spark, sf, replace(PLAIN, store_content=False))
+    again = SearchIndex.open(spark, index.path, index.options)
+    try:
+        SearchIndex.open(spark, index.path, replace(index.options, store_content=True))
+        raise AssertionError("other flags were accepted")
+    except SearchIndexError:
+        return again.documents().agg(F.lit(index.options.flags()["store_content"]).alias("store_content"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, ord, metadata.Subject AS subject, metadata.From AS sender FROM entries")

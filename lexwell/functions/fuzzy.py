@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 
@@ -34,30 +32,51 @@ def ratio(a: str, b: str) -> int:
     return round(200 * longest_common(a, b) / (len(a) + len(b)))
 
 
-@lru_cache(4096)
-def _words(text: str) -> tuple[frozenset[str], list[str]]:
-    """The distinct words of a text, unordered and sorted; a text is usually compared with several queries in a row."""
-    words = frozenset(text.split())
-    return words, sorted(words)
+class TokenSet:
+    """A text that is compared with many queries: its words are found once.
+
+    The ratio is the best of: common words against common words with the rest of the query, against common words with
+    the rest of the text, and these two against each other. All three begin with the common words.
+    """
+
+    def __init__(self, text: str | None) -> None:
+        self.words = frozenset((text or "").split())
+        self.letters = sum(map(len, self.words))
+        self._sorted: list[str] | None = None
+
+    def ratio(self, query: str | None) -> int:
+        asked = frozenset((query or "").split())
+        common = asked & self.words
+        if len(common) == len(asked) or len(common) == len(self.words):
+            return 100  # one is part of the other; so are empty texts
+        shared = sum(map(len, common))
+        rest_a = sorted(asked - common)
+        n_rest_a, n_rest_b = len(" ".join(rest_a)), self.letters - shared + len(self.words) - len(common) - 1
+        if not common:
+            return self._rests(rest_a, common, 0, 0, n_rest_a, n_rest_b)
+        n = shared + len(common) - 1
+        n_a, n_b = n + 1 + n_rest_a, n + 1 + n_rest_b
+        least = max(round(200 * n / (n + n_a)), round(200 * n / (n + n_b)))
+        return self._rests(rest_a, common, least, n + 1, n_a, n_b)
+
+    def _rests(self, rest_a: list[str], common: frozenset[str], least: int, same: int, n_a: int, n_b: int) -> int:
+        """The ratio of two texts of these lengths that begin with ``same`` equal characters, if it is above ``least``."""
+        if round(200 * min(n_a, n_b) / (n_a + n_b)) <= least:
+            return least  # no common subsequence is longer than the shorter text
+        if self._sorted is None:
+            self._sorted = sorted(self.words)
+        a, b = " ".join(rest_a), " ".join(w for w in self._sorted if w not in common)
+        return max(least, round(200 * (same + longest_common(a, b)) / (n_a + n_b)))
+
+    def score(self, query: str | None) -> float:
+        return self.ratio(query) / 100
 
 
 def token_set_ratio(a: str, b: str) -> int:
-    """The best ratio of common words, common words with the rest of ``a``, and with the rest of ``b``."""
-    (words_a, listed_a), (words_b, listed_b) = _words(a), _words(b)
-    common = " ".join(sorted(words_a & words_b))
-    rest_a, rest_b = " ".join(w for w in listed_a if w not in words_b), " ".join(w for w in listed_b if w not in words_a)
-    if not (rest_a and rest_b):
-        return 100
-    if not common:
-        return ratio(rest_a, rest_b)
-    # All three begin with the common words: what is left to compare are the rests.
-    n, n_a, n_b = len(common), len(common) + 1 + len(rest_a), len(common) + 1 + len(rest_b)
-    least = max(round(200 * n / (n + n_a)), round(200 * n / (n + n_b)))
-    if round(200 * min(n_a, n_b) / (n_a + n_b)) <= least:
-        return least
-    return max(least, round(200 * (n + 1 + longest_common(rest_a, rest_b)) / (n_a + n_b)))
+    """The token-set ratio of two texts in percent."""
+    return TokenSet(b).ratio(a)
 
 
 def token_set_score(query: str | None, text: str | None) -> float:
     """Token-set ratio between 0 and 1; nulls count as empty."""
-    return token_set_ratio(query or "", text or "") / 100
+    return TokenSet(text).score(query)

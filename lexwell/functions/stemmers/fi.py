@@ -2,7 +2,8 @@
 
 from lexwell.functions.stemmers import after_vowel_consonant, longest
 
-V, SHORT = "aeiouyäö", "aeiouäö"
+# Vowels, vowels without y, consonants, vowels that fall at the end.
+V, SHORT, CONSONANTS, FINAL = "aeiouyäö", "aeiouäö", "bcdfghjklmnpqrstvwxz", "aäei"
 LONG = ("aa", "ee", "ii", "oo", "uu", "ää", "öö")
 
 
@@ -52,7 +53,7 @@ def _case(w: str, r1: int) -> tuple[str, bool]:
     if s is None:
         return w, False
     before = w[: -len(s)]
-    vi = before[-1:] == "i" and before[-2:-1] in tuple(V)
+    vi = before[-1:] == "i" and before[-2:-1] in tuple(SHORT)
     if s in h:
         return (before, True) if before.endswith(h[s]) else _n(w, r1)
     if s in ("siin", "den", "tten"):
@@ -60,7 +61,7 @@ def _case(w: str, r1: int) -> tuple[str, bool]:
     if s == "seen":
         return (before, True) if before.endswith(LONG) else _n(w, r1)
     if s in ("a", "ä"):
-        return (before, True) if len(before) > 1 and before[-1] in V and before[-2] not in V else (w, False)
+        return (before, True) if len(before) > 1 and before[-1] in V and before[-2] in CONSONANTS else (w, False)
     if s in ("tta", "ttä"):
         return (before, True) if before.endswith("e") else (w, False)
     if s == "n":
@@ -80,7 +81,7 @@ def _n(w: str, r1: int) -> tuple[str, bool]:
 def _tidy(w: str, r1: int) -> str:
     if w.endswith(LONG) and len(w) - 2 >= r1:
         w = w[:-1]
-    if len(w) > 1 and w[-1] in "aäei" and w[-2] not in V and len(w) - 2 >= r1:
+    if len(w) > 1 and w[-1] in FINAL and w[-2] in CONSONANTS and len(w) - 2 >= r1:
         w = w[:-1]
     if w.endswith(("oj", "uj")) and len(w) - 2 >= r1:
         w = w[:-1]
@@ -89,6 +90,6 @@ def _tidy(w: str, r1: int) -> str:
     i = len(w)
     while i and w[i - 1] in V:
         i -= 1
-    if i > 1 and w[i - 1] == w[i - 2]:
+    if i > 1 and w[i - 1] in CONSONANTS and w[i - 1] == w[i - 2]:
         w = w[: i - 1] + w[i:]
     return w.rstrip("'")

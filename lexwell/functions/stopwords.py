@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-# The words of each language, in natural order. German and Romanian words are completed by the rules below.
+# The words of each language. They must equal the lists of the engine whose results are matched.
 _WORDS = {
     "de": (
-        "der die das den dem des dies derselbe dieselbe dasselbe ich du er sie es wir mich dich sich uns euch mir dir ihm ihn "
-        "ihnen man etwas nichts an am auf aus bei beim bis durch für gegen hinter im in ins mit nach neben ohne seit über um "
-        "unter vom von vor während wegen zwischen zu zum zur aber als also auch dass daß denn doch indem ob obwohl oder sondern "
-        "sowie und weil wenn wie damit zwar bin bist ist sind seid sei war warst waren wart gewesen werde wirst wird werden "
-        "werdet wurde wurden würde würden habe hast hat habt haben hatte hattest hatten hattet kann kannst können könnt könnte "
-        "muss musst müssen müsst musste soll sollst sollen sollte will willst wollen wollte darf dürfen mag mögen möchte da dann "
-        "dazu dort hier hin jetzt nun noch nur schon sehr selbst so sonst weg weiter wieder einmal nicht was wer wo wann warum "
+        "aber alle allem allen aller alles als also am an auch auf aus bei beim bin bis bist da damit dann darf das daß dass "
+        "dasselbe dazu dein deine deinem deinen deiner deines dem den denn der derselbe des dich die dies diese dieselbe diesem "
+        "diesen dieser dieses dir doch dort du durch dürfen ein eine einem einen einer eines einmal er es etwas euch euer eure "
+        "eurem euren eurer eures für gegen gewesen habe haben habt hast hat hatte hatten hattest hattet hier hin hinter ich ihm "
+        "ihn ihnen ihr ihre ihrem ihren ihrer ihres im in indem ins ist jede jedem jeden jeder jedes jene jenem jenen jener jenes "
+        "jetzt kann kannst kein keine keinem keinen keiner keines können könnt könnte mag man manche manchem manchen mancher "
+        "manches mein meine meinem meinen meiner meines mich mir mit möchte mögen muss müssen musst müsst musste nach neben nicht "
+        "nichts noch nun nur ob obwohl oder ohne schon sehr sei seid sein seine seinem seinen seiner seines seit selbst sich sie "
+        "sind so solche solchem solchen solcher solches soll sollen sollst sollte sondern sonst sowie über um und uns unser "
+        "unsere unserem unseren unserer unseres unter vom von vor während wann war waren warst wart warum was weg wegen weil "
+        "weiter welche welchem welchen welcher welches wenn wer werde werden werdet wie wieder will willst wir wird wirst wo "
+        "wollen wollte wurde würde wurden würden zu zum zur zwar zwischen "
     ),
     "en": (
         "a an the this that these those each every either neither some any no all both few more most much many other another such "
@@ -125,15 +130,16 @@ _WORDS = {
         "viszont volna "
     ),
     "ro": (
-        "un o una unui unei unor al a ai ale acest acesta această aceasta aceste acestea acestei acestor acestui acel acela acea "
-        "aceea acele acelea alt alta altă alte alți altul fiecare orice oricare toată toate tot toți totul câțiva niște eu tu el "
-        "ea noi voi ei ele mă te se ne vă îi îl îmi îți le li lor lui mie mine tine sine care cărei căror cărui ce cine cineva "
-        "ceva nimeni nimic meu mea mei mele tău ta tăi tale său sa săi sale nostru noastră noștri noastre vostru voastră voștri "
-        "voastre și sau ori dar iar însă ci că căci dacă deci deși încât întrucât fiindcă deoarece de la în într dintr printr din "
-        "prin pe cu fără despre după până peste spre sub lângă între asupra către pentru ca cum când unde cât câtă câte câți nu "
-        "da mai doar chiar încă așa atât foarte prea abia aici acolo azi mâine ieri apoi fi fie fii fiu fim fiți fiind fost sunt "
-        "sînt suntem sîntem sunteți sînteți ești este e eram erai era erați erau vei va vom veți vor avea am are avem aveți au aș "
-        "ar ași ați aveam avut având "
+        "a abia acea această aceasta aceea acel acela acele acelea acest acesta aceste acestea acestei acestor acestui acolo ai "
+        "aici al ale alt alta altă alte alți alţi altul am apoi ar are aș aş așa aşa ași aşi asupra atât ați aţi au având avea "
+        "aveam avem aveți aveţi avut azi că ca căci când care cărei căror cărui cât câtă câte câți câţi câțiva câţiva către ce "
+        "ceva chiar ci cine cineva cu cum da dacă dar de deci deoarece deși deşi despre din dintr doar după e ea ei el ele era "
+        "erai eram erați eraţi erau este ești eşti eu fără fi fie fiecare fii fiind fiindcă fim fiți fiţi fiu foarte fost iar "
+        "ieri îi îl îmi în încă încât însă într între întrucât îți îţi la lângă le li lor lui mă mai mâine mea mei mele meu mie "
+        "mine ne nimeni nimic niște nişte noastră noastre noi noștri noştri nostru nu o ori oricare orice până pe pentru peste "
+        "prea prin printr sa săi sale său sau se și şi sine sînt sîntem sînteți spre sub sunt suntem sunteți sunteţi ta tăi tale "
+        "tău te tine toată toate tot toți toţi totul tu un una unde unei unor unui vă va vei veți veţi voastră voastre voi vom "
+        "vor voștri voştri vostru "
     ),
     "tr": (
         "acaba ama ancak arada aslında ayrıca bana bazı belki ben benden beni benim beri bile bir birçok biri birkaç birşey biz "
@@ -146,21 +152,4 @@ _WORDS = {
         "yine yoksa zaten "
     ),
 }
-# German pronouns by stem; those of the second group also stand without an ending.
-_GERMAN_ENDINGS = ("e", "em", "en", "er", "es")
-_GERMAN_INFLECTED = ("jed", "all", "manch", "solch", "welch", "dies", "jen", "eur")
-_GERMAN_POSSESSIVE = ("ein", "kein", "mein", "dein", "sein", "ihr", "unser")
-# Romanian words with comma letters are also written with cedilla letters, but for these.
-_ROMANIAN_COMMA_ONLY = ['sînteți']
-
-
-def _completed(language: str, words: list[str]) -> list[str]:
-    if language == "de":
-        stems = (*_GERMAN_INFLECTED, *_GERMAN_POSSESSIVE)
-        return [*words, *_GERMAN_POSSESSIVE, "euer", *(s + e for s in stems for e in _GERMAN_ENDINGS)]
-    if language == "ro":
-        return [*words, *(w.translate(str.maketrans("șț", "şţ")) for w in words if w not in _ROMANIAN_COMMA_ONLY)]
-    return words
-
-
-STOP_WORDS: dict[str, frozenset[str]] = {language: frozenset(_completed(language, words.split())) for language, words in _WORDS.items()}
+STOP_WORDS: dict[str, frozenset[str]] = {language: frozenset(words.split()) for language, words in _WORDS.items()}

@@ -52,6 +52,16 @@ def fold_terms(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), accented, plain), MARKS, "")
 
 
+def fold_terms_text(text: str) -> str:
+    """``fold_terms`` of one string."""
+    return "".join(c for c in text.lower().translate(_accents()) if ud.category(c) != "Mn")
+
+
+@lru_cache(maxsize=1)
+def _accents() -> dict[int, str]:
+    return str.maketrans(*latin_accents())
+
+
 def terms(text: Column) -> Column:
     """Index terms of a text: runs of letters, numbers and private-use characters of the folded text."""
     return F.regexp_extract_all(fold_terms(text), F.lit(TERM), F.lit(0))

@@ -1,17 +1,22 @@
-"""Token streams: stems and phonetic codes, computed once per distinct (language, token)."""
+"""Token streams: languages of texts, stems and phonetic codes of their tokens."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexwell.functions.text import terms, tokens
+from lexwell.functions.text import fold_terms_text
 from lexwell.schema import IndexOptions
 from lexwell.sources.shipping import ship
 
+MEMO = 400_000  # analyzed tokens a worker keeps for each language; beyond it starts anew
+
 
 def resolved_language(df: DataFrame, options: IndexOptions, text: str) -> DataFrame:
     """Fills ``language``: as given, else detected, else the default. Only rows without a language reach the detector."""
@@ -30,51 +35,63 @@ def resolved_language(df: DataFrame, options: IndexOptions, text: str) -> DataFr
     return df.withColumn("language", F.coalesce("language", F.lit(options.default_language).cast("string")))
 
 
-def analyzed_vocabulary(vocabulary: DataFrame, options: IndexOptions) -> DataFrame:
-    """(language, token) -> (language, token, stem, code, stop); languages without an analyzer keep the token as stem."""
-    ship(vocabulary.sparkSession)
-    analyzers = options.analyzers
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            stems, codes, stops = [], [], []
-            for language, token in zip(b["language"], b["token"]):
-                a = analyzers.get((language or "").lower())
-                stems.append(a.stem(token) if a else token)
-                codes.append(a.encode(token) if a and a.encode else None)
-                stops.append(bool(a and a.is_stop_word(token)))
-            yield b.assign(stem=stems, code=codes, stop=stops)
-
-    return vocabulary.mapInPandas(run, "language string, token string, stem string, code string, stop boolean")
-
-
-def _folded(df: DataFrame, value: str) -> DataFrame:
-    """Distinct values of a record pass the index tokenizer once more; what coincides then adds up."""
-    return df.select("rowid", F.explode(terms(F.col(value))).alias("term")).groupBy("rowid", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-
-
-def derived_postings(texts: DataFrame, options: IndexOptions) -> DataFrame | None:
-    """Postings (stream, term, rowid, tf) of the stem and phonetic streams of (rowid, language, text); None if both are off."""
-    if not (options.enable_stemming or options.enable_phonetic):
-        return None
-    used = texts.select("rowid", F.lower("language").alias("language"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    if not options.analyzers:  # every language keeps its tokens as stems and has no codes
-        if not options.enable_stemming:
-            return None
-        return _folded(used, "token").select(F.lit("stem").alias("stream"), "term", "rowid", "tf")
-    vocabulary = analyzed_vocabulary(used.select("language", "token").distinct(), options)
-    if options.remove_stop_words:
-        vocabulary = vocabulary.where(~F.col("stop"))
-    words = used.join(vocabulary.withColumnsRenamed({"language": "l", "token": "t"}), (F.col("token") == F.col("t")) & F.col("language").eqNullSafe(F.col("l")))
-    parts = []
-    if options.enable_stemming:
-        stems = words.where(F.length("stem") > 0).select("rowid", "stem").distinct()
-        parts.append(_folded(stems, "stem").select(F.lit("stem").alias("stream"), "term", "rowid", "tf"))
-    if options.enable_phonetic:
-        codes = words.where(F.length("code") > 0).select("rowid", "code").distinct()
-        parts.append(_folded(codes, "code").select(F.lit("phonetic").alias("stream"), "term", "rowid", "tf"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def without_stop_words(words: Column, stop_words: list[str]) -> Column:
-    return F.array_except(words, F.array(*map(F.lit, stop_words))) if stop_words else words
+class Vocabulary:
+    """Stems and codes of tokens by language; each token of a language is analyzed once and then remembered.
+
+    A language without an analyzer keeps its tokens as stems and has no codes.
+    """
+
+    def __init__(self, options: IndexOptions) -> None:
+        self.options = options
+        self.stems = options.enable_stemming
+        self.codes = options.enable_phonetic and any(a.encode for a in options.analyzers.values())
+        self._memo: dict[str, dict[str, tuple[str, str | None]]] = {}
+        self._terms: dict[str, list[str]] = {}
+
+    @property
+    def derives(self) -> bool:
+        return self.stems or self.codes
+
+    def analyzed(self, language: str | None, token: str) -> tuple[str, str | None]:
+        """(stem, code) of a token; '' and null where it has none or is a stop word that is left out."""
+        known = self._memo.setdefault(language or "", {})
+        if token not in known:
+            if len(known) >= MEMO:
+                known.clear()
+            a = self.options.analyzers.get(language or "")
+            if a is None:
+                known[token] = token, None
+            elif self.options.remove_stop_words and a.is_stop_word(token):
+                known[token] = "", None
+            else:
+                known[token] = a.stem(token), a.encode(token) if self.codes and a.encode else None
+        return known[token]
+
+    def index_terms(self, value: str) -> list[str]:
+        """A stem or code as the index tokenizer reads it."""
+        if value not in self._terms:
+            if len(self._terms) >= MEMO:
+                self._terms.clear()
+            self._terms[value] = re.findall(r"[^\W_]+", fold_terms_text(value))
+        return self._terms[value]
+
+    def streams(self, languages: list[str | None], words: list[list[str]]) -> dict[str, tuple[np.ndarray, list[str], np.ndarray]]:
+        """For each derived stream (row, term, tf): distinct values of a text, folded; what coincides then adds up."""
+        out: dict[str, tuple[list[int], list[str], list[int]]] = {}
+        if self.stems:
+            out["stem"] = [], [], []
+        if self.codes:
+            out["phonetic"] = [], [], []
+        for row, (language, listed) in enumerate(zip(languages, words)):
+            pairs = [self.analyzed(language, w) for w in listed or ()]
+            for name, at in (("stem", 0), ("phonetic", 1)):
+                if name not in out:
+                    continue
+                counts: Counter[str] = Counter()
+                for value in {p[at] for p in pairs if p[at]}:
+                    counts.update(self.index_terms(value))
+                rows, found, tf = out[name]
+                rows += [row] * len(counts)
+                found += counts.keys()
+                tf += counts.values()
+        return {k: (np.array(r, np.int64), t, np.array(n, np.int64)) for k, (r, t, n) in out.items()}

@@ -1,7 +1,8 @@
 """Recall: which documents match the phrases of which query, with BM25, for many queries at once.
 
-``phrases`` is (query_id, pass, phrase_no, stream, term, is_prefix), the pass ``strict`` or ``any``. All joins are on
-equal keys; postings of a term are dealt over ``SALT`` tasks, so that a term in a third of all documents does not fill one.
+A search reads only the buckets of the postings its terms fall into, and of the texts only those of documents to verify.
+All joins are on equal keys; adaptive execution splits the partitions of hot terms, small sides are broadcast by their
+known size. Intermediate tables are written once and so have such a size.
 """
 
 from __future__ import annotations
@@ -10,13 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexwell.functions.text import occurrences, trigrams
-from lexwell.operators.postings import IndexTables, texts_of, trigram_postings
+from lexwell.operators.postings import IndexTables, bucket_of, text_column
+from lexwell.plans.match import phrases_of
 from lexwell.sources.checkpoint import saved
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-SALT = 8
-FEW_GRAMS = 128
 DIGITS = 9  # ranks and scores are rounded, as sums of doubles depend on their order
 
 
@@ -30,33 +30,72 @@ def saturated(f: Column, length: Column, average: float) -> Column:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(average if average else 1.0)))
 
 
-def phrase_hits(phrases: DataFrame, tables: IndexTables) -> DataFrame:
-    """(query_id, pass, phrase_no, rowid, f, df) of every phrase in every document that has it.
+def pruned_postings(tables: IndexTables, keys: DataFrame) -> DataFrame:
+    """The postings in the buckets of ``keys`` (stream, term): a filter on partitions, at most streams times buckets values."""
+    wanted = keys.select("stream", bucket_of(tables.buckets, "stream", "term").alias("bucket")).distinct().collect()
+    by_stream: dict[str, list[int]] = {}
+    for r in wanted:
+        by_stream.setdefault(r["stream"], []).append(r["bucket"])
+    inside = F.lit(False)
+    for stream, buckets in sorted(by_stream.items()):
+        inside = inside | ((F.col("stream") == stream) & F.col("bucket").isin(sorted(buckets)))
+    return tables.postings.where(inside)
 
-    A prefix phrase counts the terms it begins together: f is their sum, df the documents with any of them.
+
+def pruned_documents(tables: IndexTables, rowids: DataFrame) -> DataFrame:
+    """The documents with these rowids, read from their buckets only; at most as many values as there are buckets."""
+    wanted = [r["bucket"] for r in rowids.select(bucket_of(tables.buckets, "rowid").alias("bucket")).distinct().collect()]
+    inside = tables.documents.where(F.col("bucket").isin(sorted(wanted)) if wanted else F.lit(False))
+    return inside.join(rowids.select("rowid").distinct(), "rowid", "left_semi")
+
+
+def phrase_shares(phrases: DataFrame, tables: IndexTables) -> DataFrame:
+    """(query_id, rowid, share, base): what each phrase adds to the rank of each document that has it.
+
+    ``base`` marks whole terms of the base stream, which alone count in the strict pass. A prefix phrase counts the terms
+    it begins together: f is their sum, df the documents with any of them; each distinct prefix is looked up once.
     """
-    salt = F.pmod(F.xxhash64("rowid"), F.lit(SALT)).cast("int")
-    postings = tables.postings.withColumn("salt", salt)
-    spread = F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt")
-    whole = phrases.where(~F.col("is_prefix")).join(tables.term_stats, ["stream", "term"])
-    hits = whole.select("query_id", "pass", "phrase_no", "stream", "term", "df", spread).join(postings, ["stream", "term", "salt"])
-    hits = hits.select("query_id", "pass", "phrase_no", "rowid", F.col("tf").cast("double").alias("f"), "df")
-    prefixes = phrases.where("is_prefix").select("query_id", "pass", "phrase_no", "stream", F.col("term").alias("prefix"))
+    whole = phrases.where(~F.col("is_prefix")).select("query_id", "stream", "term")
+    keys = whole.select("stream", "term").distinct()
+    postings = pruned_postings(tables, keys)
+    counted = postings.join(keys, ["stream", "term"], "left_semi").groupBy("stream", "term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = saved(whole.join(counted, ["stream", "term"]).select("query_id", "stream", "term", idf(tables.n_docs, F.col("df")).alias("idf")))
+    share = F.col("idf") * saturated(F.col("tf").cast("double"), F.col("dl"), tables.avg_dl)
+    hits = weighted.join(postings, ["stream", "term"]).select("query_id", "rowid", share.alias("share"), (F.col("stream") == "base").alias("base"))
+    prefixes = phrases.where("is_prefix").select("query_id", F.col("term").alias("prefix"))
     # Prefixes are one or two characters long: the terms are joined on their first characters.
-    begun = tables.term_stats.select("stream", "term", F.explode(F.array_distinct(F.array(F.substring("term", 1, 1), F.substring("term", 1, 2)))).alias("prefix"))
-    expanded = prefixes.join(begun, ["stream", "prefix"]).select("query_id", "pass", "phrase_no", "stream", "term", spread)
-    found = expanded.join(postings, ["stream", "term", "salt"]).groupBy("query_id", "pass", "phrase_no", "rowid").agg(F.sum("tf").cast("double").alias("f"))
-    counted = found.groupBy("query_id", "pass", "phrase_no").agg(F.count(F.lit(1)).alias("df"))
-    return hits.unionByName(found.join(counted, ["query_id", "pass", "phrase_no"]).select(hits.columns))
+    first = F.explode(F.array_distinct(F.array(F.substring("term", 1, 1), F.substring("term", 1, 2)))).alias("prefix")
+    begun = saved(
+        tables.term_stats.where(F.col("stream") == "base").select("stream", "term", first)
+        .join(prefixes.select("prefix").distinct(), "prefix").select("prefix", "stream", "term").distinct()
+    )
+    found = (
+        pruned_postings(tables, begun).join(begun, ["stream", "term"])
+        .groupBy("prefix", "rowid").agg(F.sum("tf").cast("double").alias("f"), F.first("dl").alias("dl"))
+    )
+    of_prefix = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("df"))
+    share = idf(tables.n_docs, F.col("df")) * saturated(F.col("f"), F.col("dl"), tables.avg_dl)
+    short = found.join(of_prefix, "prefix").join(prefixes, "prefix").select("query_id", "rowid", share.alias("share"), F.lit(False).alias("base"))
+    return hits.unionByName(short)
 
 
-def bm25(hits: DataFrame, tables: IndexTables) -> DataFrame:
-    """(query_id, pass, rowid, rank, matched): lower ranks are better; ``matched`` counts the phrases found."""
-    share = idf(tables.n_docs, F.col("df")) * saturated(F.col("f"), F.col("dl"), tables.avg_dl)
-    scored = hits.join(tables.doc_stats.select("rowid", "dl"), "rowid").withColumn("share", share)
-    return scored.groupBy("query_id", "pass", "rowid").agg(
-        (-F.round(F.sum("share"), DIGITS)).alias("rank"), F.count(F.lit(1)).alias("matched")
+def bm25(plans: DataFrame, tables: IndexTables) -> DataFrame:
+    """(query_id, pass, rowid, rank): the any-term pass of each query and, where it has one, its strict pass.
+
+    Lower ranks are better. Both passes come from one look-up: a document is in the strict pass if it has all whole base
+    terms, and its rank there is the sum of their shares.
+    """
+    shares = phrase_shares(phrases_of(plans), tables)
+    ranked = shares.groupBy("query_id", "rowid").agg(
+        F.sum("share").alias("any"), F.sum(F.when(F.col("base"), F.col("share"))).alias("strict"), F.sum(F.col("base").cast("int")).alias("matched")
+    )
+    required = plans.select("query_id", "required")
+    both = F.array(
+        F.struct(F.lit("any").alias("pass"), F.col("any").alias("sum")),
+        F.when((F.col("required") > 0) & (F.col("matched") == F.col("required")), F.struct(F.lit("strict").alias("pass"), F.col("strict").alias("sum"))),
     )
+    each = ranked.join(required, "query_id").select("query_id", "rowid", F.explode(F.array_compact(both)).alias("p"))
+    return each.select("query_id", "p.pass", "rowid", (-F.round("p.sum", DIGITS)).alias("rank"))
 
 
 def best_of(df: DataFrame, keys: list[str], order: list[Column], most: int | Column) -> DataFrame:
@@ -65,70 +104,52 @@ def best_of(df: DataFrame, keys: list[str], order: list[Column], most: int | Col
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
 
 
-def _gram_postings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, rowid) of the wanted trigrams. Few of them are searched for in each text; more are joined with all of a text's."""
-    few = [r["gram"] for r in wanted.limit(FEW_GRAMS + 1).collect()]
-    if len(few) > FEW_GRAMS:
-        return trigram_postings(texts).join(wanted, "gram", "left_semi")
-    listed = F.array(*map(F.lit, few)) if few else F.array().cast("array<string>")
-    low = texts.select("rowid", F.lower("text").alias("low"))
-    return low.select("low", "rowid", F.explode(listed).alias("gram")).where(F.contains(F.col("low"), F.col("gram"))).select("gram", "rowid")
-
-
 def substring_hits(queries: DataFrame, tables: IndexTables) -> DataFrame:
     """(query_id, rowid, rank) of the documents whose text contains ``part``; queries: (query_id, part), part in lower case.
 
-    Each distinct part is looked up once. Every document that contains it has its rarest trigram: that one alone is
-    joined with the documents' trigrams, and what it finds is verified and counted in the texts.
+    Each distinct part is looked up once. Every document that contains it has its rarest trigram: the postings of that
+    one alone are read. A part of three characters is its trigram, so its count is the answer; for longer parts the
+    texts found are verified and counted.
     """
-    texts = texts_of(tables.documents)
     parts = queries.select("part").distinct()
-    grams = parts.select("part", F.explode(F.array_distinct(trigrams(F.col("part")))).alias("gram"))
-    used = saved(_gram_postings(texts, grams.select("gram").distinct()))
-    counted = grams.join(used.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram", "left")
-    rarest = counted.groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    salt = F.pmod(F.xxhash64("rowid"), F.lit(SALT)).cast("int").alias("salt")
-    spread = rarest.select("part", "gram", F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt"))
-    candidates = spread.join(used.select("gram", "rowid", salt), ["gram", "salt"]).select("part", "rowid")
+    grams = saved(parts.select("part", F.explode(F.array_distinct(trigrams(F.col("part")))).alias("term")).withColumn("stream", F.lit("trigram")))
+    # The frequencies only choose a trigram: those of replaced documents may be among them.
+    known = tables.term_stats.where(F.col("stream") == "trigram").select("term", "df")
+    counted = grams.join(known.groupBy("term").agg(F.sum("df").alias("df")), "term", "left")
+    rarest = saved(counted.groupBy("part", "stream").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term")))
+    candidates = saved(pruned_postings(tables, rarest).join(rarest, ["stream", "term"]).select("part", "rowid", F.col("tf").cast("double").alias("f"), "dl"))
+    exact = F.length("part") == 3
+    doubtful = candidates.where(~exact)
+    low = pruned_documents(tables, doubtful).select("rowid", F.lower(text_column()).alias("low"))
     verified = (
-        candidates.join(texts.select("rowid", F.lower("text").alias("low")), "rowid")
-        .where(F.contains(F.col("low"), F.col("part")))
-        .select("part", "rowid", occurrences(F.col("low"), F.col("part")).cast("double").alias("f"))
-    )
-    return ranked_substrings(verified, tables).join(queries, "part").select("query_id", "rowid", "rank")
+        doubtful.join(low, "rowid").where(F.contains(F.col("low"), F.col("part")))
+        .select("part", "rowid", occurrences(F.col("low"), F.col("part")).cast("double").alias("f"), "dl")
+    )
+    return ranked_substrings(candidates.where(exact).unionByName(verified), tables).join(queries, "part").select("query_id", "rowid", "rank")
 
 
 def ranked_substrings(verified: DataFrame, tables: IndexTables) -> DataFrame:
+    verified = saved(verified)
     counted = verified.groupBy("part").agg(F.count(F.lit(1)).alias("df"))
-    share = idf(tables.n_docs, F.col("df")) * saturated(F.col("f"), F.col("tri_len"), tables.avg_tri)
-    return (
-        verified.join(counted, "part")
-        .join(tables.doc_stats.select("rowid", "tri_len"), "rowid")
-        .select("part", "rowid", (-F.round(share, DIGITS)).alias("rank"))
-    )
+    share = idf(tables.n_docs, F.col("df")) * saturated(F.col("f"), F.col("dl"), tables.avg_tri)
+    return verified.join(counted, "part").select("part", "rowid", (-F.round(share, DIGITS)).alias("rank"))
 
 
-def candidate_pool(plans: DataFrame, phrases: DataFrame, tables: IndexTables, pool: int) -> DataFrame:
+def candidate_pool(plans: DataFrame, tables: IndexTables, pool: int) -> DataFrame:
     """(query_id, rowid, tier, rank): at most ``pool`` candidates a query, strict matches (tier 0) before others.
 
-    ``plans`` is (query_id, all_terms, tokens, part, result_limit). Strict matching applies to queries for all terms
-    with more than one token; if it finds fewer than the limit, documents with any term are added. Substring hits join
-    the tier of the any-term matches. A document in both tiers keeps the better tier and the lower rank.
+    Strict matching applies to queries for all terms with more than one token; if it finds fewer than the limit,
+    documents with any term are added. Substring hits join the tier of the any-term matches. A document in both tiers
+    keeps the better tier and the lower rank.
     """
-    strict_queries = plans.where(F.col("all_terms") & (F.col("tokens") > 1)).select("query_id", "tokens", "result_limit")
-    ranked = bm25(phrase_hits(phrases.where("pass = 'strict'"), tables), tables)
-    strict = ranked.join(strict_queries.select("query_id", "tokens"), "query_id").where("matched = tokens")
-    strict = saved(best_of(strict.select("query_id", "rowid", "rank"), ["query_id"], [F.col("rank"), F.col("rowid")], pool))
-    enough = (
-        strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("found")).join(strict_queries, "query_id")
-        .where(F.col("found") >= F.greatest("result_limit", F.lit(0)))
-    )
-    no_any = enough.select("query_id").unionByName(strict_queries.where("result_limit <= 0").select("query_id")).distinct()
-    wanted = phrases.where("pass = 'any'").join(no_any, "query_id", "left_anti")  # the others' phrases are never looked up
-    loose = bm25(phrase_hits(wanted, tables), tables)
-    loose = best_of(loose.select("query_id", "rowid", "rank"), ["query_id"], [F.col("rank"), F.col("rowid")], pool)
+    order = [F.col("rank"), F.col("rowid")]
+    ranked = saved(best_of(bm25(plans, tables), ["query_id", "pass"], order, pool))
+    strict = ranked.where("pass = 'strict'").select("query_id", "rowid", "rank")
+    found = strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+    gated = plans.where("required > 0").join(found, "query_id", "left").where(F.coalesce("found", F.lit(0)) >= F.greatest("result_limit", F.lit(0)))
+    loose = ranked.where("pass = 'any'").join(gated.select("query_id"), "query_id", "left_anti").select("query_id", "rowid", "rank")
     parts = plans.where(F.col("part").isNotNull()).select("query_id", "part")
-    substrings = best_of(substring_hits(parts, tables), ["query_id"], [F.col("rank"), F.col("rowid")], pool)
+    substrings = best_of(substring_hits(parts, tables), ["query_id"], order, pool)
     # Where there is no strict pass, its tier stays empty: the order is the same with any-term matches in tier 1.
     tiers = strict.withColumn("tier", F.lit(0)).unionByName(loose.withColumn("tier", F.lit(1))).unionByName(substrings.withColumn("tier", F.lit(1)))
     merged = tiers.groupBy("query_id", "rowid").agg(F.min("tier").alias("tier"), F.min("rank").alias("rank"))

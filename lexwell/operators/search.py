@@ -5,75 +5,26 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lexwell.functions.text import fold_terms, tokens, utf16_length
-from lexwell.operators.analysis import analyzed_vocabulary, resolved_language
 from lexwell.operators.postings import IndexTables
 from lexwell.operators.rank import paged, scored, with_snippets
 from lexwell.operators.recall import candidate_pool
+from lexwell.plans.match import planned
 from lexwell.schema import IndexOptions, QueryOptions
-
-
-def planned(queries: DataFrame, options: IndexOptions) -> DataFrame:
-    """(query_id, query_text, language, all_terms, words, tokens, units, part, limits...) of the queries that are not blank."""
-    found = tokens(F.col("query_text"))
-    units = utf16_length(F.col("query_text"))
-    part = F.when(units >= 3, F.lower("query_text")) if options.enable_trigram else F.lit(None).cast("string")
-    usable = queries.where(F.col("query_text").rlike(r"\S"))
-    return usable.select(
-        "query_id", "query_text", "language", "result_limit", "result_offset", "include_snippet",
-        (F.coalesce("term_match", F.lit("AllTerms")) == "AllTerms").alias("all_terms"), found.alias("words"), F.size(found).cast("bigint").alias("tokens"),
-        units.alias("units"), part.alias("part"),
-    )
-
-
-def phrases_of(plans: DataFrame, options: IndexOptions, enable_phonetic: bool = True) -> DataFrame:
-    """(query_id, pass, phrase_no, stream, term, is_prefix): what each query looks up."""
-    base = plans.select("query_id", "all_terms", "tokens", F.posexplode("words").alias("at", "word"))
-    passes = F.explode(F.when(F.col("all_terms") & (F.col("tokens") > 1), F.array(F.lit("any"), F.lit("strict"))).otherwise(F.array(F.lit("any"))))
-    whole = base.select(
-        "query_id", passes.alias("pass"), F.concat(F.lit("b"), "at").alias("phrase_no"), F.lit("base").alias("stream"),
-        fold_terms(F.col("word")).alias("term"), F.lit(False).alias("is_prefix"),
-    )
-    short = plans.where((F.col("units") < 3) & (F.col("tokens") > 0)).select(
-        "query_id", F.lit("any").alias("pass"), F.lit("p").alias("phrase_no"), F.lit("base").alias("stream"),
-        fold_terms(F.element_at("words", -1)).alias("term"), F.lit(True).alias("is_prefix"),
-    )
-    out = whole.unionByName(short)
-    if not options.enable_stemming and not (options.enable_phonetic and enable_phonetic):
-        return out
-    spoken = resolved_language(plans, options, "query_text").select("query_id", F.lower("language").alias("language"), F.explode(F.array_distinct("words")).alias("token"))
-    vocabulary = analyzed_vocabulary(spoken.select("language", "token").distinct(), options)
-    if options.remove_stop_words:
-        vocabulary = vocabulary.where(~F.col("stop"))
-    vocabulary = vocabulary.withColumnsRenamed({"language": "l", "token": "t"})
-    known = spoken.join(vocabulary, (F.col("token") == F.col("t")) & F.col("language").eqNullSafe(F.col("l")))
-
-    def derived(value: str, mark: str, stream: str) -> DataFrame:
-        distinct = known.where(F.length(value) > 0).select("query_id", F.col(value).alias("v")).distinct()
-        return distinct.select(
-            "query_id", F.lit("any").alias("pass"), F.concat(F.lit(mark), "v").alias("phrase_no"), F.lit(stream).alias("stream"),
-            fold_terms(F.col("v")).alias("term"), F.lit(False).alias("is_prefix"),
-        )
-
-    if options.enable_stemming:
-        out = out.unionByName(derived("stem", "s", "stem"))
-    if options.enable_phonetic and enable_phonetic:
-        out = out.unionByName(derived("code", "c", "phonetic"))
-    return out
+from lexwell.sources.checkpoint import saved
 
 
 def search_tables(tables: IndexTables, queries: DataFrame, index: IndexOptions, query: QueryOptions) -> DataFrame:
     """(query_id, position, doc_id, metadata, score, tier, snippet) of every query's page.
 
-    ``queries`` has the columns of ``schema.QUERIES``. Blank queries and queries without tokens or trigrams have no
-    rows. Rows with equal query ids are taken as one query written twice and must not occur.
+    ``queries`` has query_id, query_text and any other columns of ``schema.QUERIES``; what is missing or null comes from
+    ``query``. Blank queries and queries without tokens or trigrams have no rows. Rows with equal query ids are taken as
+    one query written twice and must not occur.
     """
-    plans = planned(queries, index)
-    pool = candidate_pool(plans, phrases_of(plans, index, query.enable_phonetic), tables, query.candidate_pool_size)
+    plans = saved(planned(queries, index, query))
+    pool = candidate_pool(plans, tables, query.candidate_pool_size)
     hits = scored(pool, plans, tables, query.enable_fuzzy, index.fuzzy_ranker, query.min_score)
-    page = with_snippets(paged(hits, plans), plans, query.snippet)
+    page = with_snippets(paged(hits, plans), plans, tables, query.snippet)
     return page.select("query_id", "position", "doc_id", "metadata", "score", "tier", "snippet")
 
 

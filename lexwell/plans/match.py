@@ -1,12 +1,21 @@
-"""The plan of a ranked search: which phrases are looked up in which stream, and its rendering as match text."""
+"""The plan of a ranked search: which phrases are looked up in which stream, and its rendering as match text.
+
+Every search goes through ``make_plan``, one call a query; ``planned`` does so for a DataFrame of queries.
+"""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lexwell.functions.text import DOTTED
-from lexwell.schema import IndexOptions, QueryOptions
+from lexwell.functions.text import DOTTED, fold_terms
+from lexwell.schema import QUERIES, IndexOptions, QueryOptions
+from lexwell.sources.shipping import ship
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -58,7 +67,11 @@ def make_plan(text: str | None, index: IndexOptions, query: QueryOptions) -> Mat
     substring = text.lower() if index.enable_trigram and units >= 3 else None
     if not found:
         return MatchPlan(text, (), (), substring)
-    language = query.language or (index.language_detector(text) if index.language_detector else None) or index.default_language
+    language = query.language
+    if language is None and index.language_detector is not None:
+        language = index.language_detector(text)
+    if language is None:
+        language = index.default_language
     analyzer = index.analyzers.get((language or "").lower())
     phrases = [Phrase("base", t) for t in found]
     if units < 3:
@@ -83,3 +96,45 @@ def render(phrases: tuple[Phrase, ...], joiner: str = " OR ") -> str:
         inside = joiner.join(escaped(p.term) + "*" * p.is_prefix for p in phrases if p.stream == stream)
         clauses.append(f"{stream} : ({inside})")
     return " OR ".join(clauses)
+
+
+_PHRASES = "array<struct<stream:string,term:string,is_prefix:boolean>>"
+_PLANS = f"query_id bigint, query_text string, result_limit int, result_offset int, include_snippet boolean, required int, part string, phrases {_PHRASES}"
+
+
+def planned(queries: DataFrame, index: IndexOptions, query: QueryOptions) -> DataFrame:
+    """(query_id, query_text, result_limit, result_offset, include_snippet, required, part, phrases) of the queries that look something up.
+
+    ``queries`` needs query_id and query_text; other columns of ``schema.QUERIES`` that are missing or null take the
+    values of ``query``. ``required`` is the number of phrases the strict pass needs, 0 if there is none; ``part`` the
+    substring. Blank queries and queries without tokens and substring have no row.
+    """
+    ship(queries.sparkSession)
+    defaults = {
+        "term_match": query.term_match, "result_limit": query.limit, "result_offset": query.offset, "language": query.language,
+        "include_snippet": query.include_snippet,
+    }
+
+    def column(f):
+        value = F.lit(defaults.get(f.name)).cast(f.dataType)
+        return (F.coalesce(F.col(f.name), value) if f.name in queries.columns else value).cast(f.dataType).alias(f.name)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                text = r.query_text if isinstance(r.query_text, str) else None
+                language = r.language if isinstance(r.language, str) else None
+                plan = make_plan(text, index, replace(query, term_match=r.term_match, language=language))
+                if not plan.empty:
+                    phrases = [{"stream": p.stream, "term": p.term, "is_prefix": p.is_prefix} for p in plan.any_term]
+                    rows.append((r.query_id, text, r.result_limit, r.result_offset, r.include_snippet, len(plan.strict), plan.substring, phrases))
+            yield pd.DataFrame(rows, columns=["query_id", "query_text", "result_limit", "result_offset", "include_snippet", "required", "part", "phrases"])
+
+    return queries.select(*map(column, QUERIES.fields)).mapInPandas(run, _PLANS)
+
+
+def phrases_of(plans: DataFrame) -> DataFrame:
+    """(query_id, stream, term, is_prefix), one row a phrase, the terms folded as the index folds them."""
+    p = plans.select("query_id", F.explode("phrases").alias("p"))
+    return p.select("query_id", "p.stream", fold_terms(F.col("p.term")).alias("term"), "p.is_prefix")

@@ -79,6 +79,7 @@ class IndexOptions:
     default_language: str | None = None
     fuzzy_ranker: Callable[[str, str], float] | None = None  # None: token-set ratio
     metadata_schema: T.StructType | None = None
+    buckets: int = 32  # into how many folders a new index deals its tables; an index keeps the number it was made with
 
     FLAGS = ("store_content", "enable_trigram", "enable_stemming", "enable_phonetic", "remove_stop_words", "tokenizer")
 

@@ -15,7 +15,7 @@ from lexwell.schema import DOCUMENTS, QUERIES, IndexOptions, QueryOptions, Searc
 from lexwell.streaming.ingest import ingest
 
 META = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.IntegerType())])
-BARE = IndexOptions(enable_stemming=False, enable_phonetic=False, metadata_schema=META)
+BARE = IndexOptions(enable_stemming=False, enable_phonetic=False, metadata_schema=META, buckets=4)
 
 
 def entries(spark, *rows):
@@ -28,6 +28,12 @@ def documents(spark, *texts):
     return spark.createDataFrame([(i, f"d{i}", None, None, "", t) for i, t in enumerate(texts, 1)], DOCUMENTS)
 
 
+def partition_filters(df):
+    """The filters on partitions of each scan of the physical plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
+
+
 @pytest.fixture
 def index(spark, tmp_path):
     return SearchIndex.open(spark, str(tmp_path / "index"), BARE)
@@ -44,13 +50,13 @@ def test_open_flags_and_versions(spark, tmp_path):
     SearchIndex.open(spark, path, BARE).close()
     with pytest.raises(SearchIndexError, match="enable_stemming"):
         SearchIndex.open(spark, path, IndexOptions(metadata_schema=META))
-    manifest = json.loads((tmp_path / "i/manifest.json").read_text())
+    log = tmp_path / "i/log"
+    manifest = json.loads(next(log.glob("*.json")).read_text())
     del manifest["store_content"]
-    (tmp_path / "i/manifest.json").write_text(json.dumps(manifest))
-    (tmp_path / "i/.manifest.json.crc").unlink(missing_ok=True)
+    (log / f"{2:020d}.json").write_text(json.dumps(manifest))
     with pytest.raises(SearchIndexError, match="store_content"):
         SearchIndex.open(spark, path, BARE)
-    (tmp_path / "i/manifest.json").write_text(json.dumps(manifest | {"schema_version": "9"}))
+    (log / f"{3:020d}.json").write_text(json.dumps(manifest | {"schema_version": "9"}))
     with pytest.raises(SearchIndexError, match="version"):
         SearchIndex.open(spark, path, BARE)
     assert mobile().max_content_chars == 4000 and mobile().remove_stop_words and not mobile().enable_trigram and desktop().enable_trigram
@@ -105,7 +111,7 @@ def test_substrings_prefixes_folding(spark, index):
         assert ids(index.search(q)) == ["r"]
     for q in ("müller", "muller", "MULLER", "Müller"):
         assert ids(index.search(q)) == ["m"]
-    assert ids(index.search("re")) == ["p", "r"] or set(ids(index.search("re"))) == {"p", "r"}
+    assert set(ids(index.search("re"))) == {"p", "r"}
     assert set(ids(index.search("warehouse"))) == {"w", "s"}
     hit = index.search("rechnung", QueryOptions(include_snippet=True))[0]
     assert hit["snippet"] == "Die <mark>Rechnung</mark> ist angekommen" and index.search("rechnung")[0]["snippet"] is None
@@ -114,13 +120,14 @@ def test_substrings_prefixes_folding(spark, index):
 def test_scores(spark, index):
     index.add_range(entries(spark, ("dense", "alpha alpha alpha beta beta beta"), ("long", "alpha beta " + "filler " * 40), ("apart", "alpha " + "filler " * 40 + "beta")))
     plain = {r["doc_id"]: r["score"] for r in index.search("alpha beta", QueryOptions(enable_fuzzy=False))}
-    assert plain["dense"] == 1.0 and plain["long"] == pytest.approx(0.15) or plain["long"] > plain["apart"]
+    # "apart" has the same terms as "long" in fewer positions beside each other: it is not raised by the exact boost.
+    assert plain["dense"] == 1.0 and plain["long"] == pytest.approx(plain["apart"] + 0.15, abs=0.02) and plain["apart"] < 0.1
     assert "apart" not in {r["doc_id"] for r in index.search("alpha beta", QueryOptions(enable_fuzzy=False, min_score=0.5))}
     assert index.search("kafka kafka") == []
 
 
 def test_languages_end_to_end(spark, tmp_path):
-    options = IndexOptions(metadata_schema=META).with_all_languages()
+    options = IndexOptions(metadata_schema=META, buckets=4).with_all_languages()
     index = SearchIndex.open(spark, str(tmp_path / "l"), options)
     index.add_range(
         entries(spark, ("de", "Die Rechnung ist angekommen", "de"), ("en", "they run daily to the office", "en"), ("fr", "le cheval est rapide", "fr"), ("mu", "Herr Müller", "de"), ("sm", "Mr Smith arrived", "en"))
@@ -151,14 +158,12 @@ def test_bm25_equals_sqlite(spark):
         pytest.skip("no fts5")
     db.executemany("INSERT INTO f(rowid, base) VALUES (?, ?)", list(enumerate(texts, 1)))
     tables = build_tables(documents(spark, *texts), search.base_only())
+    plan = "query_id long, required int, phrases array<struct<stream:string,term:string,is_prefix:boolean>>"
     for words in (["alpha"], ["beta", "gamma"], ["alpha", "alpha"], ["uber"], ["be*"]):
         match = " OR ".join(f'"{w.rstrip("*")}"' + "*" * w.endswith("*") for w in words)
         expected = dict(db.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (match,)).fetchall())
-        phrases = spark.createDataFrame(
-            [(1, "any", f"b{i}", "base", w.rstrip("*"), w.endswith("*")) for i, w in enumerate(words)],
-            "query_id long, pass string, phrase_no string, stream string, term string, is_prefix boolean",
-        )
-        got = {r["rowid"]: r["rank"] for r in recall.bm25(recall.phrase_hits(phrases, tables), tables).collect()}
+        plans = spark.createDataFrame([(1, 0, [("base", w.rstrip("*"), w.endswith("*")) for w in words])], plan)
+        got = {r["rowid"]: r["rank"] for r in recall.bm25(plans, tables).collect()}
         assert got.keys() == expected.keys()
         for rowid, rank in expected.items():
             assert math.isclose(got[rowid], rank, rel_tol=1e-6, abs_tol=2e-9)
@@ -180,3 +185,86 @@ def test_empty_index_and_streaming(spark, index, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
     ingest(index, stream, str(tmp_path / "progress")).awaitTermination(120)
     assert index.count() == 2 and ids(index.search("beta")) == ["b"]
+
+
+def test_two_handles_lose_nothing(spark, index):
+    other = SearchIndex.open(spark, index._store.path, BARE)
+    index.add_range(entries(spark, ("a", "alpha"), ("b", "beta")))
+    other.add_range(entries(spark, ("b", "beta two"), ("c", "gamma")))
+    assert index.count() == other.count() == 3 and ids(index.search("two")) == ["b"] and ids(other.search("alpha")) == ["a"]
+    commit, raced = index._store.commit, []
+
+    def late(manifest, version):  # another writer comes first once
+        if not raced:
+            raced.append(other.add_range(entries(spark, ("d", "delta"))))
+        return commit(manifest, version)
+
+    index._store.commit = late
+    index.add_range(entries(spark, ("e", "epsilon")))
+    assert raced and other.count() == 5
+    assert sorted(r["rowid"] for r in other.documents().collect()) == [1, 2, 3, 4, 5]
+    assert {r["doc_id"] for r in other.documents().collect()} == set("abcde")
+
+
+def test_a_write_that_breaks_leaves_the_index(spark, index, tmp_path):
+    index.add_range(entries(spark, ("a", "alpha")))
+    before, segments = index.search("alpha"), set((tmp_path / "index/segments").iterdir())
+
+    def broken(*_):
+        raise KeyboardInterrupt
+
+    finish, index._store._finish = index._store._finish, broken
+    with pytest.raises(KeyboardInterrupt):
+        index.add_range(entries(spark, ("a", "changed"), ("b", "beta")))
+    assert index.search("alpha") == before and index.count() == 1 and set((tmp_path / "index/segments").iterdir()) == segments
+    index._store._finish = finish
+    index.add_range(entries(spark, ("b", "beta")))
+    assert index.count() == 2
+
+
+def test_an_upsert_writes_and_reads_what_changed(spark, index):
+    index.add_range(entries(spark, *[(f"d{i}", f"word{i} common") for i in range(200)]))
+    manifest = index._store.manifest()
+    index.add("d7", "seventh common", ("x", 1))
+    segment = index._store.manifest()["segments"][-1]
+    assert segment["n_docs"] == segment["removed"] == 1 and index._store.manifest()["segments"][:-1] == manifest["segments"]
+    known = index._known(manifest, spark.createDataFrame([("d7",)], "doc_id string"))
+    assert all("bucket" in f for f in partition_filters(known))
+    assert index.search("word7") == [] and ids(index.search("seventh")) == ["d7"] and index.count() == 200
+
+
+def test_segments_answer_like_one(spark, index):
+    texts = [f"token{i % 5} common text {i}" for i in range(30)]
+    for part in range(3):
+        index.add_range(entries(spark, *[(f"d{i}", t) for i, t in enumerate(texts) if i % 3 == part]))
+    index.add_range(entries(spark, ("d3", "token1 replaced"), ("new", "token2 common")))
+    index.remove("d4")
+    asked = ("token1", "common text", "token2 replaced", "ken1", "to", "com")
+    before = [index.search(q) for q in asked]
+    assert len(index._store.manifest()["segments"]) == 5
+    index.compact()
+    assert len(index._store.manifest()["segments"]) < 5 and [index.search(q) for q in asked] == before
+    index.optimize()
+    manifest = index._store.manifest()
+    assert len(manifest["segments"]) == 1 and [index.search(q) for q in asked] == before and manifest["n_docs"] == 30
+    index.rebuild()
+    rebuilt = index._store.manifest()
+    assert [index.search(q) for q in asked] == before and {k: rebuilt[k] for k in ("n_docs", "sum_dl", "sum_tri")} == {k: manifest[k] for k in ("n_docs", "sum_dl", "sum_tri")}
+
+
+def test_a_search_reads_its_buckets_only(spark, index):
+    index.add_range(entries(spark, *[(f"d{i}", f"word{i} common") for i in range(50)]))
+    tables = index.tables()
+    keys = spark.createDataFrame([("base", "word7")], "stream string, term string")
+    assert all("stream" in f and "bucket" in f for f in partition_filters(recall.pruned_postings(tables, keys)))
+    assert all("bucket" in f for f in partition_filters(recall.pruned_documents(tables, spark.createDataFrame([(3,)], "rowid long"))))
+
+
+def test_batches_take_missing_values_from_the_options(spark, index):
+    index.add_range(entries(spark, ("a", "alpha beta"), ("b", "alpha"), ("c", "beta")))
+    bare = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, " ")], "query_id long, query_text string")
+    assert [r["doc_id"] for r in index.search_batch(bare, QueryOptions(limit=1, include_snippet=True)).collect()] == ["a"]
+    nulls = spark.createDataFrame([(1, "alpha beta", None, None, None, None, None)], QUERIES)
+    assert len(index.search_batch(nulls).collect()) == 3
+    found = index.search_batch(nulls, QueryOptions(offset=1, include_snippet=True, term_match="AnyTerm")).collect()
+    assert len(found) == 2 and all("<mark>" in r["snippet"] for r in found)
