@@ -46,6 +46,11 @@ def p1_new_text(spark: SparkSession, sf: str) -> DataFrame:
     return mail.reduced(_mail_lines(spark, sf), "rowid")
 
 
+def p1_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks of each mail with their class."""
+    return mail.blocks(_mail_lines(spark, sf), "rowid").withColumn("probability", F.round("probability", 4))
+
+
 # Problem 2
 
 
@@ -234,7 +239,7 @@ def p10_signs(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     listed = (
-        p1_found, p1_new_text, p2_found, p2_languages, p3_found, p3_frequencies, p4_found, p4_log_entropy, p5_found, p5_restored, p6_found,
+        p1_found, p1_blocks, p1_new_text, p2_found, p2_languages, p3_found, p3_frequencies, p4_found, p4_log_entropy, p5_found, p5_restored, p6_found,
         p6_canonical, p7_found, p7_classes, p7_groups, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_signs,
     )
     return {f.__name__: f for f in listed}
