@@ -187,7 +187,8 @@ def learnt_wording(described: list[tuple[list[str], np.ndarray]], most: int = 20
             if v[f["words"]] < 5 or v[f["depth"]] or v[f["wrapped"]] or v[f["header"]] or v[f["after_header"]] or v[f["introduction"]]:
                 continue
             (after if v[f["after_closing"]] else before).update(set(_TOKEN.findall(l.lower())))
-    n_after, n_before = sum(after.values()) + 1, sum(before.values()) + 1
+    size = 0.5 * len(after | before) + 1
+    n_after, n_before = sum(after.values()) + size, sum(before.values()) + size
     odds = {w: float(np.log((after[w] + 0.5) / n_after) - np.log((before[w] + 0.5) / n_before)) for w, n in (after + before).most_common(most) if n >= 3}
     return {w: min(max(v, -3.0), 3.0) for w, v in odds.items()}
 
@@ -230,6 +231,7 @@ def training_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def blocks_of(x: np.ndarray, shown: list[int]) -> np.ndarray:
     """The block number of each shown (non-blank) line: blocks end at blank lines, where quotation begins or ends, and at markers."""
     marker = sum((x[:, _F[n]] * k for k, n in enumerate(("closing", "header", "introduction", "message_rule", "rule", "after_closing"), 1)), np.zeros(len(x)))
+    marker = marker + 100 * ((x[:, _F["senders"]] >= 3) & (x[:, _F["words"]] >= 4))  # a line that many senders have stands for itself
     out, number = np.zeros(len(shown), np.int64), 0
     for k, i in enumerate(shown):
         if k and (i != shown[k - 1] + 1 or (x[i, _F["depth"]] > 0) != (x[i - 1, _F["depth"]] > 0) or marker[i] != marker[i - 1]):
