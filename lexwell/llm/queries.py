@@ -150,6 +150,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.same_looking_pairs(table(spark, sf, "index_documents"), "rowid", _text())
 
 
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per record: the class of its form, that of its text, and how many texts and records these hold."""
+    classes = canonical.form_classes(table(spark, sf, "index_documents"), "rowid", _text())
+    return canonical.variants(classes, "rowid")
+
+
 def p6_canonical(spark: SparkSession, sf: str) -> DataFrame:
     """Every text in its one form."""
     canonical.ship(spark)
@@ -240,7 +246,7 @@ def p10_signs(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     listed = (
         p1_found, p1_blocks, p1_new_text, p2_found, p2_languages, p3_found, p3_frequencies, p4_found, p4_log_entropy, p5_found, p5_restored, p6_found,
-        p6_canonical, p7_found, p7_classes, p7_groups, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_signs,
+        p6_classes, p6_canonical, p7_found, p7_classes, p7_groups, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_signs,
     )
     return {f.__name__: f for f in listed}
 

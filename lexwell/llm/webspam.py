@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lexwell.llm.common import saved, ship
 
 _LINK = re.compile(
-    r"<a\s[^>]*>.*?</a>|\[url=[^\]]*\].*?\[/url\]|\[[^\]\n]{1,200}\]\([^)\s]*\)|(?:https?://|www\.)\S+|\S+\s?»\s?[\w-]+(?:\.[\w-]+)+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{3,10}/\S*",
+    r"<a\s[^>]*>.*?</a>|\[url=[^\]]*\].*?\[/url\]|\[[^\]\n]{1,200}\]\([^)\s]*\)|(?:https?://|www\.)\S+|(?<![\w@])(?:[\w-]+\.)+[^\W\d_]{2,24}/\S*|(?<![\w@.])(?:[\w-]+\.){2,}[^\W\d_]{2,24}(?![\w.])|[^\s»›→]+\s?[»›→]\s?(?:[\w-]+\.)+[^\W\d_]{2,24}(?:/\S*)?",
     re.I | re.S,
 )
 _BULLET = re.compile(r"\n\s*(?=[-*•#>|]\s|\d{1,4}[.)]\s)")
@@ -28,7 +28,7 @@ _ENDS = (". ", "! ", "? ", "… ", ".\n", "!\n", "?\n", "…\n", ".) ", ".\" ",
 _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATORS = (",", ";", "|", "·", "•", "»", "/", "#", " - ", " – ", " — ")
 _ITEM_ENDS = (",", ";", "|", "·", "•", "»", "/", "\t", " - ", " – ", " — ", ". ", "! ", "? ")
-_DOMAIN = re.compile(r"\.[a-z]{3,10}/", re.I)
+_DOMAIN = re.compile(r"[\w-]\.[^\W\d_]{2,24}(?:/|\b)")
 _END = re.compile(r"[.!?…:][)\"»”'’]*\s*$")
 MEASURES = ("words", "prose", "top_word", "top_pair", "repeated", "links", "separators", "functions", "needed")
 
@@ -90,7 +90,7 @@ def _sentences(text: str) -> list[str]:
 def measure(text: str, functions: FunctionWords) -> tuple[str | None, tuple[float, ...]] | None:
     """(language, values of MEASURES) of a text with words; None for one without."""
     links, rest = 0, text
-    if "://" in text or "www." in text or "»" in text or "</a>" in text or ("/" in text and _DOMAIN.search(text)):
+    if "://" in text or "www." in text or "»" in text or "</a>" in text or "](" in text or "[url" in text or _DOMAIN.search(text):
         for m in _LINK.finditer(text):
             links += m.end() - m.start()
         if links:
