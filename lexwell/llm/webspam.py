@@ -27,6 +27,7 @@ _BULLET = re.compile(r"\n\s*(?=[-*•#>|]\s|\d{1,4}[.)]\s)")
 _ENDS = (". ", "! ", "? ", "… ", ".\n", "!\n", "?\n", "…\n", ".) ", ".\" ", "!\" ", "?\" ")
 _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATORS = (",", ";", "|", "·", "•", "»", "/", "#", " - ", " – ", " — ")
+_ITEM_SIGNS = (",", ";", "|", "·", "•", "»", "/", "#", "\t")
 _ITEM_ENDS = (",", ";", "|", "·", "•", "»", "/", "\t", " - ", " – ", " — ", ". ", "! ", "? ")
 _DOMAIN = re.compile(r"[\w-]\.[^\W\d_]{2,24}(?:/|\b)")
 _END = re.compile(r"[.!?…:][)\"»”'’]*\s*$")
@@ -87,6 +88,11 @@ def _sentences(text: str) -> list[str]:
     return text.split("\0")
 
 
+def _few_signs(sentence: str, size: int) -> bool:
+    """Whether a sentence has fewer than one sign that separates items for every three words."""
+    return 3 * sum(map(sentence.count, _ITEM_SIGNS)) < size
+
+
 def measure(text: str, functions: FunctionWords) -> tuple[str | None, tuple[float, ...]] | None:
     """(language, values of MEASURES) of a text with words; None for one without."""
     links, rest = 0, text
@@ -111,7 +117,7 @@ def measure(text: str, functions: FunctionWords) -> tuple[str | None, tuple[floa
         if size:
             k = sum(map(own.__contains__, found))
             function_words += k
-            if size >= 6 and k >= max(1, needed * size) and _END.search(s, max(0, len(s) - 12)) and len(set(found)) > 0.5 * min(size, 40):
+            if size >= 6 and k >= max(1, needed * size) and _END.search(s, max(0, len(s) - 12)) and len(set(found)) > 0.5 * size and _few_signs(s, size):
                 in_sentences += size
     top = max([c for w, c in count.items() if w not in own], default=0)
     top_pair = 0
@@ -186,8 +192,8 @@ def keyword_pages(measures: DataFrame, link_share: float = 0.15, fewest_words: i
     signs = [
         F.col("top_word") > limit("top_word") + 1.5 / n,
         F.col("top_pair") > limit("top_pair") + 3 / n,
-        F.col("repeated") > F.greatest(limit("repeated"), F.lit(DEFAULT_LIMITS["repeated"])),
-        (F.col("separators") > F.greatest(limit("separators"), F.lit(DEFAULT_LIMITS["separators"]))) & (n >= 12),
+        F.col("repeated") > limit("repeated") + 2 / n,  # in short pages an item or two may recur by chance
+        (F.col("separators") > limit("separators")) & (n >= 12),
         F.col("links") > link_share,
         (F.col("functions") < 0.7 * F.col("needed")) & (F.col("prose") < 0.05) & (n >= 40),
     ]
