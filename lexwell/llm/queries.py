@@ -175,11 +175,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 def p7_classes(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document: its class of equal shingle sets, the size of the class and its links to other classes.
 
-    Shingles of five words, similarity 0.8, over the texts of documents.
+    Shingles of five words, similarity 0.8, over the texts of documents; shorter texts form classes of equal words.
     """
     docs = table(spark, sf, "documents")
     members, pairs = neardup.near_duplicates(docs, "doc_id", "text")
-    return neardup.linked(members, pairs).withColumnRenamed("record", "doc_id")
+    return neardup.linked(members.unionByName(neardup.short_texts(docs, "doc_id", "text", 5)), pairs).withColumnRenamed("record", "doc_id")
 
 
 def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
