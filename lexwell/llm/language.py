@@ -185,7 +185,7 @@ def languages(
             rows = []
             for t, said in zip(batch["t"], batch["label"]):
                 if isinstance(t, str) and not t.isascii():
-                    t = canonical(repair.text(t)[1])
+                    t = canonical(repair.text(t)[1] if repair.suspicious(t) else t)
                 found, margin = filters.stretches(t, price, said) if isinstance(t, str) else ([], 0.0)
                 weight: dict[str, float] = {}
                 for l, c, n in found:

@@ -207,6 +207,20 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill(packing.packed(sizes, "doc_id", "tokens", _capacities(spark, sf)), _capacities(spark, sf))
 
 
+def p8_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of each packing: every document is in it once, none above the capacity, only larger ones are divided."""
+    sizes = saved(tokenizer.token_counts(table(spark, sf, "documents"), "doc_id", "text"))
+    capacities = spark.createDataFrame(_capacities(spark, sf), "pack_id int, capacity bigint")
+    rows = saved(packing.packed(sizes, "doc_id", "tokens", _capacities(spark, sf)).join(F.broadcast(capacities), "pack_id"))
+    items = rows.groupBy("pack_id", "doc_id", "capacity").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).join(sizes, "doc_id")
+    of_items = items.groupBy("pack_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("size") != F.col("tokens"), 1)).alias("incomplete"),
+        F.count(F.when((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity")), 1)).alias("divided"),
+    )
+    loads = rows.groupBy("pack_id", "container", "capacity").agg(F.sum("size").alias("load"))
+    return of_items.join(loads.groupBy("pack_id").agg(F.count(F.when(F.col("load") > F.col("capacity"), 1)).alias("overfull")), "pack_id")
+
+
 # Problem 9
 
 
@@ -225,6 +239,16 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(_mix(spark, sf), "source", "tokens", table(spark, sf, "source_weights"))
 
 
+def p9_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the mixture: for each source that takes part, no record is used too often, and no copy comes twice."""
+    mix = _mix(spark, sf)
+    uses = mix.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.max("copy").alias("last"))
+    weights = table(spark, sf, "source_weights").select("source", "max_repeats")
+    return uses.join(F.broadcast(weights), "source").groupBy("source").agg(
+        F.count(F.when(F.col("uses") > F.col("max_repeats"), 1)).alias("too_often"), F.count(F.when(F.col("uses") != F.col("last"), 1)).alias("twice")
+    )
+
+
 # Problem 10
 
 
@@ -246,13 +270,15 @@ def p10_signs(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     listed = (
         p1_found, p1_blocks, p1_new_text, p2_found, p2_languages, p3_found, p3_frequencies, p4_found, p4_log_entropy, p5_found, p5_restored, p6_found,
-        p6_classes, p6_canonical, p7_found, p7_classes, p7_groups, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_signs,
+        p6_classes, p6_canonical, p7_found, p7_classes, p7_groups, p8_containers, p8_fill, p8_whole, p9_mixture, p9_shares, p9_whole, p10_found, p10_signs,
     )
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_whole": "SELECT pack_id, count(doc_id) AS documents, 0 AS incomplete, 0 AS divided, 0 AS overfull FROM pack_sizes, documents GROUP BY pack_id",
+        "p9_whole": "SELECT DISTINCT source, 0 AS too_often, 0 AS twice FROM source_weights JOIN documents USING (source) WHERE length(text) > 0",
         "p3_found": _FREQUENCIES + "SELECT term, mark FROM marks WHERE mark IS NOT NULL",
         "p3_frequencies": _FREQUENCIES + "SELECT term, occurrences, records, mark FROM marks",
         "p4_found": _TERMS

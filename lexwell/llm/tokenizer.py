@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +44,14 @@ def tokenizer(path: str):
 def token_counts(df: DataFrame, record: str, text: str, keep: list[str] | None = None, path: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(record, keep..., tokens) of every row; null and empty texts have 0 tokens. No shuffle; rows repeat as they come."""
     ship(df.sparkSession)
+    df.sparkSession.sparkContext.addFile(path)  # executors get the vocabulary from the driver, once
+    name = os.path.basename(path)
     kept = [c for c in keep or [] if c != record]
     fields = [(record, "r"), *((c, f"k{i}") for i, c in enumerate(kept))]
     schema = ", ".join(f"{alias} {df.schema[c].dataType.simpleString()}" for c, alias in fields) + ", tokens bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path)
+        encode = tokenizer(SparkFiles.get(name))
         for batch in batches:
             sizes = [len(encode(t)) if t else 0 for t in batch["t"]]
             yield batch.drop(columns="t").assign(tokens=pd.Series(sizes, index=batch.index, dtype="int64"))
