@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexwell.llm.common import saved, tokens
 
-BITS, WORDS = 512, 8  # the parity bitmap of a set, as longs
+WORDS = 2  # the parity bitmap of a set, as longs
 
 
 def shingles(words: Column, size: int) -> Column:
@@ -37,7 +37,7 @@ def shingles(words: Column, size: int) -> Column:
 
 
 def _bitmap(values: Column) -> list[Column]:
-    """b0 .. b7: bit k of the bitmap is the parity of the number of values that hash to k."""
+    """b0, b1, ...: bit k of the bitmap is the parity of the number of values that hash to k."""
     zero = F.lit(0).cast("bigint")
 
     def word(k: int) -> Column:
@@ -59,7 +59,7 @@ def shared_parts(exploded: DataFrame, sizes: DataFrame) -> DataFrame:
     ``exploded`` is (k, h), one row a shingle of a class, ``sizes`` (k, n).
     """
     shared = saved(exploded.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
-    parts = exploded.join(shared, "h").distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("c"))
+    parts = exploded.join(shared, "h").groupBy("k").agg(F.sort_array(F.collect_set(F.struct("f", "h"))).alias("c"))
     return parts.join(sizes, "k").select("k", "n", F.col("c.h").alias("ordered"))
 
 
@@ -136,13 +136,12 @@ def near_duplicates(df: DataFrame, record: str, text: str, size: int = 5, simila
 
     Records of one class are similar too (similarity 1) and have no pair. Shingles are hashed to 64 bits, sets to 128.
     """
-    members = saved(shingle_classes(df, record, text, size, min_tokens).select("record", "class", F.size("shingles").alias("n")))
-    # The lowest record of a class represents it; its text is read again, so that no set is written or moved.
+    sets = saved(shingle_classes(df, record, text, size, min_tokens))
+    members = sets.select("record", "class", F.size("shingles").alias("n"))
+    # The lowest record of a class represents it.
     lowest = saved(members.groupBy("class").agg(F.min("record").alias("k"), F.first("n").alias("n")))
-    chosen = df.join(lowest.select(F.col("k").alias(record)).distinct(), record, "left_semi")
-    sets = shingle_classes(chosen, record, text, size, min_tokens)
-    # Outer: for a plain explode the optimizer would filter on the sets and compute them, and the words of each, once more.
-    exploded = sets.select(F.col("record").alias("k"), F.explode_outer("shingles").alias("h")).where(F.col("h").isNotNull())
+    chosen = sets.join(lowest.select(F.col("k").alias("record"), "class"), ["record", "class"], "left_semi")
+    exploded = chosen.select(F.col("record").alias("k"), F.explode("shingles").alias("h"))
     pairs = class_pairs(shared_parts(exploded, lowest.select("k", "n")), similarity)
     names = lowest.select("k", "class")
     x, y = names.withColumnsRenamed({"k": "x", "class": "cx"}), names.withColumnsRenamed({"k": "y", "class": "cy"})
