@@ -587,9 +587,9 @@ def metadata_roundtrip(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from lexwell import catalogue_languages  # registers its queries
+    from lexwell import catalogue_languages, catalogue_published  # register their queries
 
-    assert catalogue_languages
+    assert catalogue_languages and catalogue_published
     return dict(QUERY)
 
 

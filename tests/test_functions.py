@@ -1,8 +1,11 @@
 """Text functions against given values."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lexwell.catalogue_published import DOUBLE_METAPHONE, KOELNER, SENTENCES, STEMS
 from lexwell.functions import text as X
 from lexwell.functions.analyzers import ANALYZERS
 from lexwell.functions.detect import detect
@@ -13,33 +16,15 @@ from lexwell.functions.stopwords import STOP_WORDS
 from lexwell.plans.match import Phrase, escaped, make_plan, query_tokens, render
 from lexwell.schema import IndexOptions, QueryOptions, SnippetOptions, version_at_least
 
-# Words and the stems they must have.
-STEMS = {
-    "de": "rechnungen:rechnung aufeinander:aufeinand kinder:kind kindes:kind katzen:katz häuser:haus gläser:glas bedürfnisse:bedurfnis längst:lang verbindungen:verbind verständlich:verstand verantwortlichkeit:verantwort auffällig:auffall wenige:wenig bauen:bau abenteuer:abenteu",
-    "en": "running:run knitting:knit hopping:hop hoping:hope agreed:agre feed:feed flies:fli ties:tie cries:cri gas:gas kiwis:kiwi consigned:consign relational:relat rational:ration adjustable:adjust replacement:replac hopefulness:hope goodness:good general:general communication:communic arsenal:arsenal skis:ski skies:sky dying:die early:earli news:news inning:inning proceed:proceed",
-    "fr": "chevaux:cheval continuité:continu continuer:continu majestueux:majestu majestueuse:majestu précieusement:précieux mangeait:mang nationalité:national principalement:principal jouaient:jou finissions:fin yeux:yeux nation:nation",
-    "es": "gatos:gat niñas:niñ canciones:cancion canción:cancion importancia:import nacionalidad:nacional rápidamente:rapid lógica:logic trabajando:trabaj llegué:lleg comieron:com comer:com",
-    "it": "ragazzi:ragazz abbandonata:abbandon nazionale:nazional felicità:felic velocemente:veloc pericolosa:pericol mangiando:mang mangiare:mang lettura:lettur organizzazione:organizz cantavano:cant",
-    "pt": "casas:cas meninas:menin nacionalidade:nacional rapidamente:rapid importância:import trabalhando:trabalh trabalhava:trabalh cantaram:cant felicidade:felic organização:organiz coração:coraçã",
-    "nl": "katten:kat boeken:boek appelen:appel werken:werk gekken:gek systemen:system lichaam:licham lichamelijke:licham mogelijkheden:mogelijk bedoeling:bedoel grootste:grootst maan:man café:caf",
-    "sv": "husets:hus flickor:flick flickorna:flick jakten:jakt starkare:stark starkast:stark möjligheterna:möj friheten:frihet tryggt:trygg kraftfullt:kraftfull rastlöst:rastlös paket:paket nyhet:nyhet",
-    "no": "huset:hus jentene:jent guttens:gutt bøkene:bøk serverte:server serverer:server sendt:send vennlig:venn hjertelig:hjert verks:verk fiskers:fisk sommers:sommers",
-    "da": "hundene:hund hunds:hund kvinden:kvind bogen:bog venligst:ven frygteligt:frygt hoppen:hop frihedens:frihed blandt:bland modløst:modløs",
-    "fi": "taloissa:talo talot:talo taloon:talo taloissaan:talo taloko:talo talosta:talo kirjat:kirj kirjan:kirj edeltäjistään:edeltäj edeltäjiin:edeltäj",
-    "ru": "книги:книг книга:книг столы:стол читала:чита читать:чита жизни:жизн красивый:красив важность:важност техники:техник ёлка:елк",
-    "hu": "házak:ház házat:ház háznak:ház házzal:ház házban:ház házaim:ház autók:autó babakocsival:babakocs almában:alm",
-    "ro": "studenți:studenț studentă:student lucrează:lucr lucrare:lucr frumoasă:frumoas românesc:român românească:român națională:național băieți:băi copiii:copii",
-    "tr": "kitaplar:kitap kitabımdır:kitap kitabım:kitap evler:ev evdeki:ev evden:ev doktorsunuz:doktor gözlerinde:göz",
-}
-
-
 @pytest.mark.parametrize("language", sorted(STEMS))
 def test_stems(language):
     stem = ANALYZERS[language].stem
-    for pair in STEMS[language].split():
-        word, expected = pair.split(":")
+    for word, expected in STEMS[language].items():
         assert stem(word) == expected, word
     assert stem("") == ""
+    for token in ("uid00011", "2000a", "x86", "100", "2011"):
+        assert not stem(token) or stem(token)[0] == token[0], token
+        assert re.findall(r"\d+", stem(token)) == re.findall(r"\d+", token), token
     for short in ("a", "ab", "x", "é", "12"):
         assert isinstance(stem(short), str)
 
@@ -51,14 +36,11 @@ def test_stop_words_sizes():
 
 
 def test_phonetics():
-    # Words and their codes.
-    codes = "müller:657 mueller:657 meier:67 mayer:67 schmidt:862 schmitt:862 breschnew:17863 wikipedia:3412 philipp:351 filip:351 weiß:38 weiss:38 heinz:068"
-    for pair in codes.split():
-        word, code = pair.split(":")
+    for word, code in KOELNER.items():
         assert koelner(word) == code, word
     assert koelner("cäsar") == koelner("kaiser") and koelner("stadt") == koelner("statt")
     assert koelner("123") is None and koelner("") is None
-    for word, code in {"smith": "SM0", "smyth": "SM0", "thomas": "TMS", "knight": "NT", "night": "NT"}.items():
+    for word, code in DOUBLE_METAPHONE.items():
         assert double_metaphone(word) == code
     for a, b in (("right", "write"), ("rite", "wright"), ("phone", "fone"), ("knot", "not"), ("philip", "filip"), ("catherine", "katherine")):
         assert double_metaphone(a) == double_metaphone(b)
@@ -67,11 +49,7 @@ def test_phonetics():
 
 
 def test_detection():
-    sentences = {
-        "de": "Die Rechnungen sind gestern angekommen und wurden sorgfältig geprüft", "en": "The invoices were received yesterday and have been checked",
-        "fr": "Les chevaux galopent rapidement à travers la campagne pendant l'été", "ru": "Книги лежат на столе в библиотеке рядом с большим окном",
-    }
-    for language, sentence in sentences.items():
+    for sentence, language in SENTENCES.items():
         assert detect(sentence) == language
     assert detect("") is None and detect(" \t\n") is None and detect(None) is None
 
