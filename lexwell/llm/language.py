@@ -106,18 +106,13 @@ class LanguageFilter:
         words = _WORD.findall(text_of(text))
         if not words:
             return np.zeros((0, len(self.languages)))
-        return np.array([self.word(w.lower()) * (self.name_weight if self._name(w) else 1.0) for w in words])
+        lower = [w.lower() for w in words]
+        rows = np.array([self.word(w) for w in lower])
+        # A capitalised word that no language has as a whole is taken for a name, which says little.
+        return rows * np.array([self.name_weight if w[0].isupper() and l not in self.whole else 1.0 for w, l in zip(words, lower)])[:, None]
 
     name_weight = 0.25
 
-    def _name(self, word: str) -> bool:
-        """A capitalised word that no language has as a whole is taken for a name, which says little."""
-        if not word[0].isupper():
-            return False
-        lower = word.lower()
-        self.word(lower)
-        return lower not in self.whole
-
     def stretches(self, text: str, price: float = 3.0, label: str | None = None) -> tuple[list[tuple[str, float, int]], float]:
         """(language, confidence, words) of consecutive stretches; neighbours differ; [] if no word says anything.
 
