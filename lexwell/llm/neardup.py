@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexwell.llm.common import saved, tokens
 
-WORDS = 2  # the parity bitmap of a set, as longs
+WORDS = 8  # the parity bitmap of a set, as longs
 
 
 def shingles(words: Column, size: int) -> Column:
@@ -75,12 +75,15 @@ def class_pairs(parts: DataFrame, similarity: float) -> DataFrame:
     # Groups: classes of one size whose prefixes are equal, single shingles included. A class with single shingles in
     # its prefix has a prefix of its own.
     own = F.when(F.col("alone") > 0, F.col("k").cast("string"))
-    grouped = saved(keyed.withColumn("g", F.md5(F.concat_ws("|", n.cast("string"), F.array_join(F.transform("prefix", lambda h: h.cast("string")), ","), own))).select("*", *_bitmap(F.col("ordered"))))
+    alike = F.concat_ws("|", n.cast("string"), F.array_join(F.transform("prefix", lambda h: h.cast("string")), ","), own)
+    named = saved(keyed.withColumn("alike", F.md5(alike)).select("*", *_bitmap(F.col("ordered"))))
+    first = named.groupBy("alike").agg(F.min("k").alias("g"), F.count(F.lit(1)).alias("members"))
+    several = first.where("members > 1").select("alike", "g", "members")  # most classes are a group by themselves
+    grouped = named.join(several, "alike", "left").withColumn("g", F.coalesce("g", "k")).withColumn("members", F.coalesce("members", F.lit(1).cast("bigint")))
+    grouped = saved(grouped.drop("alike"))
     # A group of several classes has no single bitmap or size of the shared part: the filter passes it (members > 1), its
     # classes are compared when they are expanded.
-    groups = grouped.groupBy("g").agg(
-        *(F.first(c).alias(c) for c in ("n", "c", "alone", "prefix", *(f"b{k}" for k in range(WORDS)))), F.count(F.lit(1)).alias("members")
-    )
+    groups = grouped.where("g = k")
     posted = groups.select(
         "g", "n", "c", "members", *(f"b{k}" for k in range(WORDS)), F.col("alone"), F.posexplode("prefix").alias("at", "h")
     ).withColumn("pos", F.col("alone") + F.col("at") + 1)
