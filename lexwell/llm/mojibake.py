@@ -237,7 +237,7 @@ class Plausibility:
         turned = sum(before_c.isupper() != after_c.isupper() for before_c, after_c in ((word[i - 1], other[i - 1]) for i in changed))
         if turned and turned < max(4, 0.8 * len(changed)):
             return False
-        known = self.triples[language]
+        known = self.triples.get(language, frozenset())
 
         def fitting(w: str) -> int:
             return sum("".join(x if x.isalpha() else " " for x in w[i - 1 : i + 2]) in known for i in changed)
@@ -462,7 +462,7 @@ class Repair:
         if not total:
             return {}
         language = max(sorted(total), key=total.__getitem__)
-        letters = self.plausible.letters[language]
+        letters = self.plausible.letters.get(language, frozenset())
         odd = [w for w in words if self.known.get(w) or any(c > "\x7f" and c.isalpha() and c not in letters for c in w.lower())]
         ways: dict[str, dict[str, str]] = defaultdict(dict)
         for w in odd:

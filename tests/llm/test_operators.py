@@ -136,6 +136,15 @@ def test_round_trips_of_held_out_samples():
     assert done["right", "koi8_r", "cp1251"] >= 0.9 * done["koi8_r", "cp1251"] > 0
 
 
+def test_texts_do_not_change_what_later_ones_become():
+    repair = mojibake.Repair(mojibake.Plausibility.learn(SAMPLES))
+    russian = next(t for l, t in SAMPLES if l == "ru")
+    repair.text(russian.encode("utf-8").decode("latin_1"))  # the words are weighed in the languages that have letters
+    repair.text("The ticket history of São is not in the northern hall.")  # English has none
+    assert set(repair.plausible.letters) == {"de", "fr", "hu", "ru"}
+    assert repair.text(russian.encode("cp1251").decode("latin_1"))[:2] == (True, russian)
+
+
 def test_search_enters_states_that_look_worse():
     costs = {"é": 2.0, "Ã©": 3.0, "e": 0.0}
     moves = {("é",): [("a>b", ("Ã©",), 0.25)], ("Ã©",): [("b>c", ("e",), 0.25)]}
