@@ -2,9 +2,9 @@
 
 Method: best-first search over encode, decode and unescape operations. A state is a list of words; an operation writes
 all of them in one single-byte encoding and reads the bytes as another encoding, or undoes a character escape. The
-frontier is ordered by how implausible the characters of a state are plus a price per operation; states seen before are
-not entered again, and a state may be entered though it looks worse than the one before it. The cheapest state that is
-reached is the restored text.
+frontier is ordered by how implausible the characters of a state are plus a price per operation; a state is entered again
+only if it is reached in a better way, and may be entered though it looks worse than the one before it. The search ends when
+bounds show that no state left can lead to a cheaper one. The cheapest state that is reached is the restored text.
 
 The search runs on the words of a text that do not fit the language of the text, together, so that short words are
 restored by what longer ones prove; the operations found are then applied to every word of the text they bring nearer to
@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import heapq
 import html
+import math
 import re
 import unicodedata as ud
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -49,6 +51,9 @@ _PAIR = re.compile(r"[ÂÃÄÅÐÑРСВГ├┬][^\w\s.,;:!?()'\"-]|[ÂÃÄÅ
 _QUOTED = re.compile(r"(?:=[0-9A-F]{2})+")  # quoted-printable bytes
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UTF7 = re.compile(r"\+[A-Za-z0-9+/]{2,}-")
+# Scripts without their letters; the blocks between them hold typographic signs, which any text may hold.
+_FOREIGN = re.compile(r"[\u0370-\u1fff\u2c00-\u2dff\u3040-\ufe0f\U00010000-\U0010ffff]")
+_RUN = re.compile(r"[^\x00-\x7f]+")
 _ESCAPED = re.compile(r"\\[ux]|&#?\w+;|=[89A-F][0-9A-F]|%[89A-Fa-f][0-9A-Fa-f]|\+A[A-Za-z0-9+/]{2,}-")
 # All letters of Cyrillic text are non-ASCII, most of them between neighbours that some sample has: one that is not says more.
 SCRIPT_WEIGHT = {"ru": 4.0}
@@ -96,6 +101,7 @@ class Plausibility:
     spoken: dict[str, list[str]] = field(default_factory=dict)
     _parts: dict[str, tuple[float, dict[str, float]]] = field(default_factory=dict)
     _vectors: dict[str, np.ndarray] = field(default_factory=dict)
+    _floors: dict[str, np.ndarray | float] = field(default_factory=dict)
     _names: list[str] | None = None
 
     @classmethod
@@ -156,7 +162,7 @@ class Plausibility:
                 rest += 3.0
             elif c in "\xa0\xad":
                 rest += 3.0 if before.isalpha() and after.isalpha() else 0.2
-            elif ud.category(c) in ("Mn", "Co", "Cn", "So", "Sk"):
+            elif ud.category(c) in ("Mn", "Co", "Cn", "So", "Sk") or _FOREIGN.match(c):
                 rest += 4.0
             else:
                 rest += 0.2
@@ -196,9 +202,29 @@ class Plausibility:
         if found is None:
             if len(self._vectors) >= 300_000:
                 self._vectors.clear()
-            found = self._vectors[word] = np.array([self.cost_in(word, l) for l in self.languages])
+            rest, by = self.parts(word)
+            found = self._vectors[word] = np.array([rest + SCRIPT_WEIGHT.get(l, 1.0) * by.get(l, 0.0) for l in self.languages])
         return found
 
+    def floor(self, text: str) -> np.ndarray | float:
+        """What the words of a text cost at least for each language, whatever stands beside their characters."""
+        total: np.ndarray | float = 0.0
+        for c in text:
+            if c > "\x7f":
+                if c not in self._floors:
+                    self._floors[c] = self._floor(c)
+                total = total + self._floors[c]
+        return total
+
+    def _floor(self, c: str) -> np.ndarray | float:
+        if c < "\xa0":
+            return 6.0
+        if c.isalpha() and c not in "ªº" and c not in SIGNS:
+            return np.array([
+                0.1 + (0.0 if c in self.letters[l] or c.lower() in self.letters[l] else 4.0 * SCRIPT_WEIGHT.get(l, 1.0)) for l in self.languages
+            ])
+        return 3.0 if c in _WRITABLE and c not in SIGNS and c not in "\xa0\xad" else 0.1
+
     @property
     def languages(self) -> list[str]:
         if self._names is None:
@@ -330,48 +356,104 @@ def _applied(word: str, steps: tuple[str, ...]) -> str | None:
     return word
 
 
-def best_first(words: State, cost, max_steps: int, max_states: int, slack: float = 1.5) -> tuple[float, State, tuple[str, ...]]:
-    """(total, state, operations) of the cheapest state reached; ``cost`` of a state, to which the prices paid are added.
+def _letters(words: State) -> int:
+    return sum(sum(map(str.isalpha, w)) for w in words)
+
+
+def _least(n: int, readable: bool) -> float:
+    """What a state of ``n`` non-ASCII characters, and any reached from it, costs at least, with the prices of readings as UTF-8.
+
+    A character costs 0.1 or more, operations on single bytes keep their number, escapes add to it, and reading as UTF-8
+    makes one of up to four.
+    """
+    least, paid = 0.1 * n, 0.0
+    while readable and n > 1:
+        n, paid = -(-n // 4), paid + _READ
+        least = min(least, paid + 0.1 * n)
+    return least
+
+
+def _readable(words: State) -> bool:
+    """Whether an escape can be undone, or the words can be UTF-8 in some encoding, be it after operations on single bytes.
 
-    States that look worse than the first by more than ``slack`` are kept waiting and, as the search ends when only such
-    are left, not entered; so are those whose price alone exceeds the best total. At most ``max_states`` are entered.
+    Those replace equal characters by equal ones, and UTF-8 has other bytes first in a letter than after that.
+    """
+    if any(sign in w for sign, _ in _UNESCAPES for w in words):
+        return True
+    no = 0
+    for w in words:
+        runs = _RUN.findall(w)
+        first = {r[0] for r in runs}
+        no += any(len(r) < 2 or r[1] in first or r[-1] in first for r in runs)
+    return 2 * no < len(words)
+
+
+def best_first(
+    words: State, cost, max_steps: int, max_states: float = math.inf, slack: float = math.inf, below: float = math.inf, floor=None
+) -> tuple[float, State, tuple[str, ...]]:
+    """(total, state, operations) of the cheapest state that is reached in ``max_steps`` operations; ``cost`` of a state, to
+    which the prices paid are added, is 0.1 or more for each of its non-ASCII characters, and ``floor`` of it if that is given.
+
+    The search ends when no state that waits can lead to a cheaper one, or to one ``below`` which a caller has use for. A
+    caller may end it earlier: after ``max_states`` states, or when all that wait look worse than the first by more than
+    ``slack``.
     """
     start = cost(words)
-    best, seen, number, entered = (start, words, ()), {words}, 0, 0
-    frontier: list[tuple[float, int, State, float, tuple[str, ...]]] = [(start, 0, words, 0.0, ())]
+    best, limit, number, entered = (start, words, ()), min(start, below), 0, 0
+    # The ways a state was reached: price, letters before its bytes were confused, confusions, operations. A way that is
+    # better in none of them than one before is not entered.
+    seen: dict[State, list[tuple[float, int, int, int]]] = {words: [(0.0, _letters(words), 0, 0)]}
+    frontier: list[tuple[float, int, State, float, int, int, tuple[str, ...]]] = [(start, 0, words, 0.0, _letters(words), 0, ())]
+
+    def hopeless(n: int, paid: float, lost: int, confused: int, readable: bool) -> tuple[bool, bool]:
+        """Whether no reading as UTF-8 or undone escape, and no reading as single bytes, can lead from here below the limit."""
+        least = _least(n, readable)
+        reading = not readable or paid + lost + _READ + _least(-(-n // 4), True) >= limit
+        return reading, paid + _SEPARATE + 1.5 * confused + least >= limit
+
     while frontier and entered < max_states:
-        total, _, state, paid, steps = heapq.heappop(frontier)
-        if total > start + slack or paid + _READ >= best[0]:
-            if total > start + slack:
-                break  # the frontier is ordered
+        total, _, state, paid, letters, confused, steps = heapq.heappop(frontier)
+        if total > start + slack:
+            break  # the frontier is ordered
+        n, readable, lost = sum(c > "\x7f" for w in state for c in w), _readable(state), max(0, letters - _letters(state))
+        no_reading, no_single = hopeless(n, paid, lost, confused, readable)
+        if no_reading and no_single:
             continue
         entered += 1
-        if len(steps) >= max_steps:
-            continue
         for step, following, price in _moves(state):
-            if following in seen or paid + price >= best[0]:
+            separate = price == _SEPARATE
+            if separate and no_single:
+                break  # cheap ones came first
+            # Confusions of single bytes beside another confusion are rarer than one.
+            reached = paid + price + (0.0 if step == "unescape" else 1.5 * confused) + (0.0 if separate else lost)
+            left, can = (n, readable) if separate else (sum(c > "\x7f" for w in following for c in w), _readable(following))
+            if reached + _least(left, can) >= limit:
                 continue
-            seen.add(following)
-            if price == _SEPARATE:
-                # A second confusion of single bytes is rarer than one, and letters seldom become signs.
-                price += 1.5 * sum(not s.endswith((">utf-8", "unescape")) for s in steps)
-                price += 1.0 * (sum(sum(map(str.isalpha, w)) for w in following) < sum(sum(map(str.isalpha, w)) for w in state))
-            after = cost(following)
-            reached = paid + price + after
+            now = _letters(following)
+            before, taken = letters if separate else now, (*steps, step)
+            way = reached, before, confused + separate, len(taken)
+            ways = seen.setdefault(following, [])
+            if any(all(x <= y for x, y in zip(other, way)) for other in ways):
+                continue
+            ways.append(way)
+            signs = max(0, before - now)  # letters seldom become signs
+            enter = len(taken) < max_steps and not all(hopeless(left, reached, signs, way[2], can))
+            if not enter and floor is not None and reached + signs + floor(following) >= limit:
+                continue
+            after = reached + signs + cost(following)
             number += 1
-            if reached < best[0]:
-                best = reached, following, (*steps, step)
-                if after <= 0.2 * len(words) and price == _READ:
-                    return best  # nothing is cheaper than one reading into plausible words
-            heapq.heappush(frontier, (reached, number, following, paid + price, (*steps, step)))
+            if after < limit:
+                best, limit = (after, following, taken), after
+            if enter:
+                heapq.heappush(frontier, (after, number, following, reached, before, way[2], taken))
     return best
 
 
 class Repair:
     """Best-first repair of words, and of texts by their words; keeps what it found for each distinct word."""
 
-    def __init__(self, plausible: Plausibility, max_steps: int = 4, cache: int = 300_000, max_states: int = 8, sample: int = 6) -> None:
-        self.plausible, self.max_steps, self.cache, self.max_states, self.sample = plausible, max_steps, cache, max_states, sample
+    def __init__(self, plausible: Plausibility, max_steps: int = 4, cache: int = 300_000, sample: int = 6) -> None:
+        self.plausible, self.max_steps, self.cache, self.sample = plausible, max_steps, cache, sample
         self.known: dict[str, Restored | None] = {}
         self._usual: set[str] | None = None
         self.fit: dict[str, dict[str, int]] = {}
@@ -390,8 +472,11 @@ class Repair:
         start = self.plausible.cost(word)
         if start < 0.9 and not _ESCAPED.search(word):
             return None
-        total, state, steps = best_first((word,), lambda s: self.plausible.cost(s[0]), self.max_steps, self.max_states // 2)
-        if _ODD.search(word) and self.plausible.cost(canonical(word) or "") < max(1.5, 0.5 * start):
+        odd = _ODD.search(word) and self.plausible.cost(canonical(word) or "") < max(1.5, 0.5 * start)
+        if odd and not any(_is_utf8((step,)) for step, _, _ in takewhile(lambda m: m[2] == _READ, _moves((word,)))):
+            return None  # as below, without a search
+        total, state, steps = best_first((word,), lambda s: self.plausible.cost(s[0]), self.max_steps)
+        if odd:
             known = all(c < "\x80" or c in SIGNS or any(c.lower() in letters for letters in self.plausible.letters.values()) for c in state[0])
             if len(steps) != 1 or not _is_utf8(steps) or not known:
                 return None  # odd characters, not a wrong encoding
@@ -429,10 +514,14 @@ class Repair:
             return ()
         if all(_ODD.search(w) and self.plausible.cost(canonical(w) or "") < 1.5 for w in worst):
             return ()
+        def floor(state: State) -> float:
+            return float((prior + self.plausible.floor("".join(state))).min()) - 1e-9
+
         state = tuple(worst)
         start = cost(state)
-        total, after, steps = best_first(state, cost, self.max_steps, self.max_states)
-        if not steps or total > 0.5 * start or start - total < 3.0 or all(s == "unescape" for s in steps):
+        useful = min(0.5 * start, start - 3.0)
+        _, _, steps = best_first(state, cost, self.max_steps, below=math.nextafter(useful, math.inf), floor=floor)
+        if not steps or all(s == "unescape" for s in steps):
             return ()
         return steps
 

@@ -159,6 +159,39 @@ def test_search_enters_states_that_look_worse():
         mojibake._moves = kept
 
 
+def test_search_goes_on_until_nothing_is_cheaper():
+    """Texts garbled twice: the way back is not among the first states that are entered."""
+    repair = mojibake.Repair(mojibake.Plausibility.learn(SAMPLES))
+    for _, text in [r for r in SAMPLES if r[0] in ("de", "fr")]:
+        garbled = text.encode("cp850").decode("latin_1").encode("utf-8").decode("cp437")
+        assert repair.text(garbled)[1] == text
+
+
+def test_search_against_all_ways():
+    """Bounds leave out only what cannot be cheaper: equal to trying all ways of two operations."""
+    plausible = mojibake.Plausibility.learn(SAMPLES)
+
+    def cost(state):
+        return sum(map(plausible.cost, state))
+
+    def letters(state):
+        return sum(c.isalpha() for w in state for c in w)
+
+    def cheapest(state, paid, before, confused, left):
+        found = paid + cost(state) + max(0, before - letters(state))
+        for step, following, price in mojibake._moves(state) if left else ():
+            single = price == mojibake._SEPARATE
+            more = price + 1.5 * confused * (step != "unescape") + (0 if single else max(0, before - letters(state)))
+            found = min(found, cheapest(following, paid + more, before if single else letters(following), confused + single, left - 1))
+        return found
+
+    for state in (("Pr³fer",), ("gr÷▀er", "f³r"), ("├╝ber",), ("&uuml;Ã¼",), ("УОПЧБ",), ("Łódź",)):
+        expected = cheapest(state, 0.0, letters(state), 0, 2)
+        assert mojibake.best_first(state, cost, 2)[0] == pytest.approx(expected), state
+        if expected < cost(state) - 0.5:
+            assert mojibake.best_first(state, cost, 2, below=cost(state) - 0.5)[0] == pytest.approx(expected), state
+
+
 def test_escapes():
     repair = mojibake.Repair(mojibake.Plausibility.learn(SAMPLES))
     for escaped in ("Pr=C3=BCfer", "Pr%C3%BCfer", "Pr+APw-fer", "Pr&uuml;fer", "Pr\\u00fcfer"):
