@@ -22,7 +22,7 @@ ASKED = (
     "the seal", "seal", "prüft", "pruft", "notice", "nótice", "price list", "list price", "aa", "aaa", "aaaa aa", "§ 5", "😀 §", "m'envoyer une", "İstanbul", "kapı", "word word", "word", "ent", "se", "e", "d",
     "sent tent", "t entente", "THE LATE PAYMENT", "late payment", "zzz", "   ", None, ". Second", "seal!", "the", "pump seal", "Müller Ventile",
 )
-NAMES = ["search_batch_nofuzzy", "search_nofuzzy_allterms", "search_phonetic_de", "search_snippets", "search_stemmed_fr", "search_fallback_analyzer", "search_nofuzzy_anyterms", "search_phonetic_en", "search_stemmed_de", "search_fuzzy", "search_own_analyzer", "search_single_token", "search_stemmed_en"]
+NAMES = ["search_batch_nofuzzy", "search_nofuzzy_allterms", "search_phonetic_de", "search_snippets", "search_stemmed_fr", "search_fallback_analyzer", "search_nofuzzy_anyterms", "search_phonetic_en", "search_stemmed_de", "search_fuzzy", "search_own_analyzer", "search_single_token", "search_stemmed_en", "search_batch"]
 
 
 def documents(spark):
@@ -31,7 +31,7 @@ def documents(spark):
 
 
 def queries(spark):
-    rows = [(10 * i + j, q, m, n, o, (None, "de", "en")[i % 3], i % 2 == 0) for i, q in enumerate(ASKED, 1) for j, (m, n, o) in enumerate((("AllTerms", 50, 0), ("AnyTerm", 3, 1), (None, 2, 0), ("AllTerms", None, -4)))]
+    rows = [(10 * i + j, q, m, n, o, (None, "de", "en", "fr")[i % 4], i % 3 == 0) for i, q in enumerate(ASKED, 1) for j, (m, n, o) in enumerate((("AllTerms", 50, 0), ("AnyTerm", 3, 1), (None, 2, 0), ("AllTerms", None, -4)))]
     return spark.createDataFrame(rows, QUERIES)
 
 
